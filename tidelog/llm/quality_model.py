@@ -27,6 +27,9 @@ from tidelog.llm.common import WORD_CHAR, durable, let, words_of
 from tidelog.llm.learning import agreed_labels, fold_of
 from tidelog.llm.quality_rules import STOP_WORDS, SYMBOLS
 
+#: Words of a usual text, a sixth of them stop words and five letters long, that are added to each text's counts.
+PRIOR_WORDS = 12.0
+
 FEATURES = ("length", "word_length", "symbols", "stop_words", "capitals", "echoes", "variety", "marks", "digits", "line_repeats", "line_length")
 
 
@@ -36,7 +39,7 @@ def statistics(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_CHAR))
 
     def body(w: Column) -> Column:
-        n = F.size(w).cast("double") + 1.0
+        n = F.size(w).cast("double") + PRIOR_WORDS  # shares of short texts lean towards a usual text's
         chars = F.length(text).cast("double") + 1.0
         without = lambda junk: F.length(text) - F.length(F.translate(text, junk, ""))
         share = lambda part, whole: F.asinh(F.lit(20.0) * part / whole)
@@ -44,9 +47,9 @@ def statistics(text: Column) -> Column:
             lines,
             lambda rows: F.array(
                 F.log1p(n),
-                F.log1p(F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) / n),
+                F.log1p((F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) + 5.0 * PRIOR_WORDS) / n),
                 share(without(SYMBOLS), n),
-                share(F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))), n),
+                share(F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))) + 0.17 * PRIOR_WORDS, n),
                 share(F.size(F.filter(w, lambda x: (F.lower(x) != x) & (F.length(x) > 1) & ~x.rlike(r"\p{Ll}"))), n),
                 share(F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))), n),
                 F.log1p(F.size(F.array_distinct(w)).cast("double")) / F.log1p(n),
