@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import quality_model, quality_rules, simhash, toxicity
+from tidelog.llm import language_id, quality_model, quality_rules, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", *(f"measures.{c}" for c in counts), "base_failed", "kept")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside fold 2 of 4."""
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), folds=4, held_out=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity_pu": op3,
         "op4_simhash": op4,
         "op5_quality_qda": op5,
         "op7_quality_rules": op7,
+        "op8_language_ranks": op8,
     }
 
 
