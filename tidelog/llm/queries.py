@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, language_id, quality_model, quality_rules, simhash, toxicity
-from tidelog.llm.common import durable
+from tidelog.llm import chat, language_id, quality_model, quality_rules, simhash, toxicity, warc
+from tidelog.llm.common import durable, fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), folds=4, held_out=2)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    root = fresh_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
+    return warc.read_warc(manifest, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_parts": op1,
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_qda": op5,
         "op7_quality_rules": op7,
         "op8_language_ranks": op8,
+        "op10_warc": op10,
     }
 
 
@@ -72,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_parts": chat.ORACLE,
         "op7_quality_rules": quality_rules.oracle(),
+        "op10_warc": warc.ORACLE,
     }
