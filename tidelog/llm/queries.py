@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, language_id, quality_model, quality_rules, simhash, toxicity, warc
+from tidelog.llm import chat, decontaminate, language_id, license_scan, quality_model, quality_rules, simhash, toxicity, warc
 from tidelog.llm.common import durable, fresh_path
 
 
@@ -25,6 +25,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_turns(turns)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: coverage and spans."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside fold 2 of 4."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -57,6 +62,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), folds=4, held_out=2)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, with the overlapping words."""
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back."""
     root = fresh_path(spark, "warc")
@@ -67,11 +77,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_parts": op1,
+        "op2_license_scan": op2,
         "op3_toxicity_pu": op3,
         "op4_simhash": op4,
         "op5_quality_qda": op5,
         "op7_quality_rules": op7,
         "op8_language_ranks": op8,
+        "op9_spaced_seeds": op9,
         "op10_warc": op10,
     }
 
