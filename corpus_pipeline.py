@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality_rules
+from tidelog.llm import decontaminate, mixing, quality_model, quality_rules, simhash
+from tidelog.llm.common import durable
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,16 +13,44 @@ def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", by_quality_rules)]
+def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below 0.3 go.
 
-#: Classifier training, graph components and the like are beyond SQL.
+    It learns from all labelled documents, as few bad ones are left among those that passed the rules.
+    """
+    labels, examples = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_model.keep_good(docs, labels, examples)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    return simhash.keep_one(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their source's target weight, in shuffled order."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality rules", by_quality_rules),
+    ("quality classifier", by_quality_model),
+    ("simhash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmarks),
+    ("mixing to target weights", to_target_weights),
+]
+
+#: Classifier training and graph components are beyond SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``, each result written to the shared folder and read again."""
-    from tidelog.llm.common import durable
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -117,7 +117,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs``, unchanged, that overlap no benchmark item; a null id stands for all rows with a null id."""
-    gone = find_overlaps(docs.select(id_col, text), benchmark, id_col, text, **kw).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text overlaps no benchmark item; rows pass through block by block, unshuffled."""
+    schema, kept = docs.schema, docs
+    for items in _blocks(benchmark, item_col, item_text, block_words):
+        block = Block(items, shortest=shortest)
+
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hashes, offsets = flat(b.column(b.num_columns - 1))
+                clean = np.ones(b.num_rows, bool)
+                for first, last in pieces(offsets):
+                    part = hashes[offsets[first] : offsets[last]]
+                    clean[[first + g[0] for g in block.search(part, offsets[first : last + 1] - offsets[first], least_words, least_share, least_identity)]] = False
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(clean))
+
+        kept = kept.select("*", word_hashes(F.col(text)).alias("__words")).mapInArrow(run, schema)
+    return kept

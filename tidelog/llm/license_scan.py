@@ -15,7 +15,6 @@ better one stays and ties go to the earlier; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +58,6 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views, axis=1))
 
 
-@lru_cache(maxsize=4096)
 def align(template: tuple[int, ...], region: tuple[int, ...], shift: int, band: int) -> tuple[int, int, int]:
     """(matched words, start, stop) of the best local alignment of ``template`` with ``region``.
 
@@ -91,7 +89,7 @@ class Scanner:
         if any(len(w) < SHINGLE for w in words):
             raise ValueError(f"a template has fewer than {SHINGLE} words")
         self.names, self.words, self.least = names, [tuple(w.tolist()) for w in words], least_coverage
-        self.mask = tuple(range(SHINGLE))
+        self.mask, self.memo = tuple(range(SHINGLE)), {}
         prints = [seed_hashes(w, self.mask) for w in words]
         kept = [winnow(p) for p in prints]
         self.index = SeedTable(np.concatenate([p[k] for p, k in zip(prints, kept, strict=True)]), np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept))
@@ -111,11 +109,20 @@ class Scanner:
             n = len(self.words[t])
             low, high = max(diagonal - BAND, 0), min(diagonal + n + 2 * BAND, int(offsets[r + 1] - offsets[r]))
             region = tuple(hashes[offsets[r] + low : offsets[r] + high].tolist())
-            matched, start, stop = align(self.words[t], region, diagonal - low + BAND // 2, BAND + BAND // 2)
+            matched, start, stop = self._aligned(t, region, diagonal - low + BAND // 2)
             if matched >= self.least * n:
                 found.setdefault(r, {}).setdefault(t, []).append((matched, low + start, low + stop))
         return {r: [(t, max(s)[0] / len(self.words[t]), _apart(s)) for t, s in sorted(by.items())] for r, by in found.items()}
 
+    def _aligned(self, t: int, region: tuple[int, ...], shift: int) -> tuple[int, int, int]:
+        """The same notice stands in many texts: a bounded number of alignments is remembered."""
+        key = (t, region, shift)
+        if key not in self.memo:
+            if len(self.memo) >= 4096:
+                self.memo.clear()
+            self.memo[key] = align(self.words[t], region, shift, BAND + BAND // 2)
+        return self.memo[key]
+
 
 def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that do not overlap, better ones first in choice, in order of their place."""

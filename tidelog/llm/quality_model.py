@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.common import WORD_CHAR, durable, let, words_of
-from tidelog.llm.learning import agreed_labels, fold_of
+from tidelog.llm.learning import agreed_labels, fold_of, hash_sample
 from tidelog.llm.quality_rules import STOP_WORDS, SYMBOLS
 
 #: Words of a usual text, a sixth of them stop words and five letters long, that are added to each text's counts.
@@ -78,6 +78,18 @@ class QuadraticModel:
         logs = [o - 0.5 * np.square((x - m) @ f.T).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -36, 36)))
 
+    def expression(self, x: Column) -> Column:
+        """The score as a Spark expression, for filters that should stay in the JVM."""
+        if self.share is not None:
+            return F.lit(self.share)
+
+        def log_density(x: Column, k: int) -> Column:
+            m, f = self.means[k], self.factors[k]
+            terms = [sum(F.lit(float(f[i, j])) * (x[j] - float(m[j])) for j in range(i + 1)) for i in range(len(m))]
+            return F.lit(float(self.offsets[k])) - 0.5 * sum(t * t for t in terms)
+
+        return let(x, lambda v: 1 / (1 + F.exp(F.greatest(F.least(log_density(v, 0) - log_density(v, 1), F.lit(36.0)), F.lit(-36.0)))))
+
 
 def train(examples: DataFrame, dims: int, toward_pooled: float = 0.1, toward_identity: float = 0.01) -> QuadraticModel:
     """A model from all rows of ``examples(x array<double>, y 0 or 1)``."""
@@ -125,8 +137,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return score_rows(train(examples, len(FEATURES), **kw), measured, len(FEATURES))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.3, **kw) -> DataFrame:
-    """The rows of ``docs``, unchanged, that score ``least`` or more; rows without an id are scored by their text alone."""
-    good = score_quality(docs, labels, id_col, text, **kw)
-    gone = good.where(F.col("score") < least).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.3, folds: int = 5, held_out: int = 0, most_examples: int = 50_000, seed: int = 29, **kw) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose own text scores ``least`` or more; none are shuffled.
+
+    Training takes about ``most_examples`` labelled rows of ``examples`` (``docs`` unless given), so that
+    their ids can be broadcast.
+    """
+    known = agreed_labels(labels, id_col, label).where(fold_of(F.col(id_col), folds) != held_out)
+    known = hash_sample(known, id_col, most_examples / max(known.count(), 1), seed)
+    labelled = (docs if examples is None else examples).select(id_col, text).join(F.broadcast(known), id_col)
+    model = train(labelled.select(statistics(F.col(text)).alias("x"), "y"), len(FEATURES), **kw)
+    return docs.where(model.expression(statistics(F.col(text))) >= least)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontaminate, language_id, license_scan, quality_model, quality_rules, simhash, toxicity, warc
+from tidelog.llm import chat, decontaminate, language_id, license_scan, mixing, quality_model, quality_rules, simhash, toxicity, warc
 from tidelog.llm.common import durable, fresh_path
 
 
@@ -50,6 +50,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated so that sources weigh as the square roots of their sizes, shuffled."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdicts of every document."""
     scored = quality_rules.score_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity_pu": op3,
         "op4_simhash": op4,
         "op5_quality_qda": op5,
+        "op6_poisson_mix": op6,
         "op7_quality_rules": op7,
         "op8_language_ranks": op8,
         "op9_spaced_seeds": op9,
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_parts": chat.ORACLE,
+        "op6_poisson_mix": mixing.ORACLE,
         "op7_quality_rules": quality_rules.oracle(),
         "op10_warc": warc.ORACLE,
     }

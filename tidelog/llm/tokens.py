@@ -61,11 +61,13 @@ class SeedTable:
     def __init__(self, seeds: np.ndarray, texts: np.ndarray, at: np.ndarray):
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.texts, self.at = seeds[order], texts[order], at[order]
-        self.bits = np.zeros(1 << self.BITS, bool)
-        self.bits[self.seeds >> np.uint64(64 - self.BITS)] = True
+        self.bits: np.ndarray | None = None  # made where it is used, not sent
 
     def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position in ``seeds``, text and position in it, for every match."""
+        if self.bits is None:
+            self.bits = np.zeros(1 << self.BITS, bool)
+            self.bits[self.seeds >> np.uint64(64 - self.BITS)] = True
         maybe = np.flatnonzero(self.bits[seeds >> np.uint64(64 - self.BITS)])
         low, high = np.searchsorted(self.seeds, seeds[maybe], "left"), np.searchsorted(self.seeds, seeds[maybe], "right")
         n = high - low
