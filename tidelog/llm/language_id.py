@@ -31,6 +31,8 @@ from tidelog.llm.learning import fold_of
 
 PROFILE = 300
 BLANK = 32
+#: Languages whose sampling shares may be broadcast: some tens of bytes each.
+BROADCAST_LANGUAGES = 100_000
 
 
 def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +69,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(docs: DataFrame, id_col: str, text: str, lang: str, folds: int, held_out: int, most_per_language: int, seed: int, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Language to ranked codes. What reaches the driver is ``size`` codes a language."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), _plain(text).alias("letters"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("id"), folds) != held_out))
-    sizes = known.groupBy("lang").agg(F.least(F.lit(1.0), most_per_language / F.count("*")).alias("share"))
+    sizes = durable(known.groupBy("lang").agg(F.least(F.lit(1.0), most_per_language / F.count("*")).alias("share")), "languages")
+    if sizes.count() <= BROADCAST_LANGUAGES:  # no text is shuffled by its language
+        sizes = F.broadcast(sizes)
     picked = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    picked = picked.select("lang", F.trim("letters").alias("letters")).where("letters <> ''")
+    picked = picked.select("lang", F.trim(_plain("text")).alias("letters")).where("letters <> ''")
     counts = picked.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = _top(durable(counts, "grams"), size)
     return {name: np.array(codes, np.int64) for name, codes in best}
