@@ -139,22 +139,25 @@ def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORIT
     return rows.select(*(made[n].cast(ENTRY[n].dataType).alias(n) for n in ENTRY_COLUMNS))
 
 
-def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """``(source_path, block, file_size, seq, text, size)`` of every physical line; only LF ends a line."""
-    reader = spark.read.option("lineSep", "\n").option("encoding", encoding).option("ignoreMissingFiles", "true")
+def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, fallback: str = "ISO-8859-1") -> DataFrame:
+    """``(source_path, block, file_size, seq, text, size)`` of every physical line; only LF ends a line.
+
+    Lines that are not UTF-8 are decoded as ``fallback``.
+    """
+    reader = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", "true")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
     rows = reader.text([paths] if isinstance(paths, str) else list(paths))
-    size = F.octet_length("value") if encoding.upper() == "UTF-8" else F.length("value")
+    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), fallback))
     rows = rows.select(
         F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///").alias("source_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
         F.monotonically_increasing_id().alias("seq"),
-        (size + 1).cast("long").alias("size"),
-        F.when(F.endswith(F.col("value"), F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("line"),
+        (F.octet_length("value") + 1).cast("long").alias("size"),
+        F.regexp_replace(value, r"^\uFEFF+|\r\z", "").alias("text"),
     )
-    return rows.withColumn("text", F.regexp_replace("line", "^﻿+", "")).drop("line")
+    return rows
 
 
 def scan_blocks(lines: DataFrame, ip_priority: Sequence[str], include_additional: bool) -> DataFrame:
@@ -203,19 +206,19 @@ def read_w3c(
     include_additional: bool = False,
     ip_priority: Sequence[str] = CLIENT_IP_PRIORITY,
     include_incomplete: bool = True,
-    encoding: str = "UTF-8",
+    fallback: str = "ISO-8859-1",
 ) -> DataFrame:
     """Entries of all files at ``paths`` (files, folders or globs)."""
-    entries, _ = read_w3c_with_totals(spark, paths, recursive=recursive, include_additional=include_additional, ip_priority=ip_priority, include_incomplete=include_incomplete, encoding=encoding)
+    entries, _ = read_w3c_with_totals(spark, paths, recursive=recursive, include_additional=include_additional, ip_priority=ip_priority, include_incomplete=include_incomplete, fallback=fallback)
     return entries
 
 
-def read_w3c_with_totals(spark: SparkSession, paths: str | Sequence[str], *, recursive: bool = False, include_additional: bool = False, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY, include_incomplete: bool = True, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+def read_w3c_with_totals(spark: SparkSession, paths: str | Sequence[str], *, recursive: bool = False, include_additional: bool = False, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY, include_incomplete: bool = True, fallback: str = "ISO-8859-1") -> tuple[DataFrame, DataFrame]:
     """Entries, and per file ``(source_path, file_size, file_lines, ends_with_lf, last_size, last_header)``."""
     if not isinstance(paths, str) and not paths:
         empty = spark.createDataFrame([], ENTRY)
         return empty, spark.createDataFrame([], "source_path string, file_size long, file_lines long, ends_with_lf boolean, last_size long, last_header string")
-    lines = read_text(spark, paths, recursive, encoding)
+    lines = read_text(spark, paths, recursive, fallback)
     blocks = durable(scan_blocks(lines, ip_priority, include_additional), "layouts")
     entries = parse_lines(number_lines(lines, blocks), ip_priority)
     totals = blocks.select("source_path", "file_size", "file_lines", "ends_with_lf", "last_size", "last_header").distinct()
