@@ -1,0 +1,195 @@
+"""The store against raw scans: increments, resets, retention, hybrid search, sources."""
+
+import os
+from datetime import UTC, datetime, timedelta
+
+import pytest
+
+from tidelog.operators.store import FileState, LogStore, is_usable, requires_reset
+from tidelog.plans.predicate import to_predicate
+from tidelog.plans.request import SearchRequest
+from tidelog.sources.files import LogFile, LogSource, detect_encoding, index_order, list_log_files, prefix_digest
+from tidelog.sources.samples import write_sample
+from tidelog.sources.w3c import read_w3c
+
+LINE = "2026-08-28 11:00:{:02d} 192.168.1.1 GET /new{} - 443 - 10.0.0.1 curl - 200 0 0 1 1 1\r\n"
+
+
+@pytest.fixture
+def place(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    write_sample(spark, str(folder / "u_ex260828.log"), 60)
+    store = LogStore(spark, str(tmp_path / "store"))
+    return folder, store, store.save_source(LogSource(str(folder)))
+
+
+def append(folder, text):
+    with open(folder / "u_ex260828.log", "a", newline="") as f:
+        f.write(text)
+
+
+def catalogue(store):
+    return [(r["indexed_line_count"], r["is_fully_indexed"]) for r in store.files().collect()]
+
+
+def test_increments(place):
+    folder, store, source = place
+    assert store.index(source).rows == 60 and catalogue(store) == [(64, True)]
+    assert store.index(source).indexed == 0
+    append(folder, LINE.format(1, 1))
+    assert store.index(source).rows == 1 and catalogue(store) == [(65, True)]
+    append(folder, LINE.format(2, 2)[:30])
+    assert store.index(source).rows == 0 and catalogue(store) == [(65, False)]
+    found = store.search(SearchRequest(source=source, from_utc=datetime(2026, 8, 28, 11, tzinfo=UTC))).collect()
+    assert [(r["line_number"], r["is_indexed"]) for r in found] == [(66, False), (65, True)]  # the unfinished line is shown, not stored
+    append(folder, LINE.format(2, 2)[30:])
+    before = store.search(SearchRequest(source=source, keyword="/new")).select("line_number", "is_indexed").collect()
+    assert [tuple(r) for r in before] == [(66, False), (65, True)]
+    assert store.index(source).rows == 1 and catalogue(store) == [(66, True)]
+    assert store.entries().count() == 62 == store.entries().select("id").distinct().count()
+
+
+def test_reindexing_after_a_crash_leaves_no_copies(spark, place):
+    folder, store, source = place
+    store.index(source)
+    states = store._states()
+    append(folder, LINE.format(1, 1))
+    store.index(source)
+    store._save_states(states)  # as if the run had died before the catalogue was written
+    assert store.index(source).rows == 0
+    assert store.entries().count() == 61 and catalogue(store) == [(65, True)]
+
+
+def test_truncation_resets(place):
+    folder, store, source = place
+    store.index(source)
+    text = (folder / "u_ex260828.log").read_text().splitlines()
+    (folder / "u_ex260828.log").write_text("\n".join(text[:14]) + "\n")
+    found = store.search(SearchRequest(source=source, max_results=None))
+    assert {r["is_indexed"] for r in found.collect()} == {False} and found.count() == 10
+    assert store.index(source).reset == 1
+    assert store.entries().count() == 10 and catalogue(store) == [(14, True)]
+
+
+def test_retention_keeps_the_checkpoint(place):
+    folder, store, source = place
+    store.index(source)
+    now = datetime(2026, 8, 29, 10, 0, 30, tzinfo=UTC)
+    assert store.cleanup(None, now) == 0 and store.cleanup(1, now) == 30
+    store.index(source)
+    assert store.entries().count() == 30
+    append(folder, LINE.format(1, 1))
+    store.index(source)
+    assert store.entries().count() == 31
+    assert store.cleanup(1, now + timedelta(days=9)) == 31 and store.entries().count() == 0
+
+
+def test_maintenance(spark, place):
+    folder, store, source = place
+    store.index(source)
+    store.optimize(source)
+    assert store.entries().count() == 60
+    assert store.rebuild(source).rows == 60
+    stats = store.stats().first()
+    assert (stats["entries"], stats["files"]) == (60, 1) and stats["stored_bytes"] > 0
+    assert [r["state"] for r in store.file_states(source).collect()] == ["Indexed"]
+    store.reset_file(store.find_file(source, list_log_files(spark, source)[0].path))
+    assert store.entries().count() == 0 and [r["state"] for r in store.file_states(source).collect()] == ["NotIndexed"]
+    store.index(source)
+    store.clear()
+    assert store.entries().count() == 0 and store.files().count() == 0 and store.sources().count() == 1
+
+
+def test_background_worker(place):
+    _, store, source = place
+    store.index(source, blocking=False)
+    store._worker.join(60)
+    assert store.entries().count() == 60
+    store.cancel()
+
+
+REQUESTS = [
+    SearchRequest(keyword="/api/order"),
+    SearchRequest(from_utc=datetime(2026, 8, 28, 10, 0, 10, tzinfo=UTC), to_utc=datetime(2026, 8, 28, 10, 0, 40, tzinfo=UTC)),
+    SearchRequest(time_from=timedelta(hours=10, seconds=30)),
+    SearchRequest(time_to=timedelta(hours=10, seconds=20)),
+    SearchRequest(method="post"),
+    SearchRequest(status_code=404),
+    SearchRequest(client_ip="10.0.0.1"),
+    SearchRequest(url_contains="page/1"),
+    SearchRequest(user_agent_contains="mozilla"),
+    SearchRequest(min_time_taken_ms=30),
+    SearchRequest(max_time_taken_ms=15),
+    SearchRequest(username="nobody"),
+]
+
+
+def test_raw_stored_and_mixed_searches_agree(spark, place):
+    """Every filter gives the same lines before indexing, after it, and with an unindexed tail."""
+    from dataclasses import replace
+
+    folder, store, source = place
+
+    def lines():
+        got = []
+        for r in REQUESTS:
+            r = replace(r, source=source, max_results=None)
+            got.append(sorted(x["line_number"] for x in store.search(r).collect()))
+            whole = read_w3c(spark, str(folder))
+            assert got[-1] == sorted(x["line_number"] for x in whole.where(to_predicate(r, whole)).collect())
+        return got
+
+    raw = lines()
+    assert [len(x) for x in raw] == [6, 31, 30, 21, 30, 1, 11, 10, 60, 30, 16, 0]
+    store.index(source)
+    assert lines() == raw
+    append(folder, LINE.format(1, 1))
+    lines()
+
+
+def test_sources(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    t = datetime(2024, 1, 1, tzinfo=UTC)
+    a, b = store.save_source(LogSource("/a"), t), store.save_source(LogSource("/b", "file"), t + timedelta(1))
+    assert (a.source_id, b.source_id) == (1, 2)
+    assert store.save_source(LogSource("/a"), t + timedelta(2)).source_id == 1
+    assert [r["path"] for r in store.recent_sources().collect()] == ["/a", "/b"]
+    assert [r["path"] for r in store.recent_sources(1).collect()] == ["/a"]
+
+
+def test_states():
+    t = datetime(2024, 1, 1, tzinfo=UTC)
+    f = LogFile("/x.log", 100, t)
+    s = FileState(1, 1, "/x.log", "x.log", file_size=100, last_write_utc=t, indexed_length=100, is_fully_indexed=True, prefix_sha256="d", last_indexed_at=t)
+    assert s.state == "Indexed" and FileState(1, 1, "", "").state == "NotIndexed"
+    assert is_usable(s, f, "d") and not is_usable(s, f, "e") and not is_usable(None, f, None)
+    assert not requires_reset(s, f, "d") and requires_reset(s, f, "e")
+    assert requires_reset(s, LogFile("/x.log", 99, t), "d")
+    assert requires_reset(s, LogFile("/x.log", 100, t + timedelta(1)), "d")
+    assert not requires_reset(s, LogFile("/x.log", 200, t + timedelta(1)), "d")
+
+
+def test_listing(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for k, name in enumerate(["a.log", "B.LOG", "c.txt", "sub/d.log"]):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1000 + k // 2, 1000 + k // 2))
+    names = lambda **kw: [f.name for f in list_log_files(spark, LogSource(str(tmp_path), **kw))]
+    assert names() == ["B.LOG", "a.log"]
+    assert names(include_subfolders=True) == ["d.log", "B.LOG", "a.log"]
+    assert [f.name for f in list_log_files(spark, LogSource(str(tmp_path / "c.txt"), "file"))] == ["c.txt"]
+    assert list_log_files(spark, LogSource(str(tmp_path / "none"))) == []
+
+
+def test_index_order():
+    at = lambda name, day: LogFile(name, 1, datetime(2024, 1, day, tzinfo=UTC))
+    files = [at("u_ex240101.log", 20), at("u_ex240109.log", 2), at("other.log", 5)]
+    assert [f.name for f in index_order(files)] == ["u_ex240109.log", "other.log", "u_ex240101.log"]
+    assert [f.name for f in index_order(files, datetime(2024, 1, 2).date())] == ["u_ex240101.log", "other.log", "u_ex240109.log"]
+
+
+def test_encoding_and_digest():
+    assert detect_encoding("é".encode()) == "UTF-8" and detect_encoding("é".encode()[:1]) == "UTF-8"
+    assert detect_encoding(b"caf\xe9 x") == "ISO-8859-1"
+    assert prefix_digest(b"") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

@@ -39,12 +39,17 @@ def is_ip(x: Column) -> Column:
     return F.coalesce(x.rlike(ADDRESS), F.lit(False))
 
 
+def _items(value: Column) -> Column:
+    """The parts of a comma-separated list; none for a missing value."""
+    parts = F.transform(F.split(value, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.when(~blank(value) & (value != "-"), parts).otherwise(F.array().cast("array<string>"))
+
+
 def first_valid_ip(value: Column) -> Column:
     """The first address of a comma-separated list, as written; null if there is none."""
-    items = F.transform(F.split(value, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return F.when(~blank(value) & (value != "-"), F.get(F.filter(items, is_ip), F.lit(0)))
+    return F.get(F.filter(_items(value), is_ip), F.lit(0))
 
 
 def resolve(candidates: Sequence[Column], client_ip: Column) -> Column:
-    """The first candidate, in order of trust, that holds an address, or else the connection's own."""
-    return F.coalesce(*(first_valid_ip(c) for c in candidates), first_valid_ip(client_ip))
+    """The first address in the candidates, in order of trust, or else the connection's own."""
+    return F.get(F.filter(F.flatten(F.transform(F.array(*candidates, client_ip), _items)), is_ip), F.lit(0))

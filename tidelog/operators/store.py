@@ -27,7 +27,7 @@ from tidelog.plans.request import SearchRequest
 from tidelog.schema import LOG_FILES, SOURCES, STORED
 from tidelog.settings import CLIENT_IP_PRIORITY
 from tidelog.sources.files import PREFIX, LogFile, LogSource, index_order, list_log_files, prefix_digests
-from tidelog.sources.ranges import RangeSource, last_header
+from tidelog.sources.ranges import RangeSource
 from tidelog.sources.w3c import parse_ranged, read_ranges, read_w3c, read_w3c_with_totals
 from tidelog.storage import durable, filesystem
 
@@ -46,6 +46,7 @@ class FileState:
     last_write_utc: datetime | None = None
     indexed_length: int = 0
     indexed_line_count: int = 0
+    physical_lines: int = 0
     is_fully_indexed: bool = False
     fields_header: str | None = None
     prefix_length: int = 0
@@ -275,7 +276,7 @@ class LogStore:
                 continue
             end = t["file_size"] if t["ends_with_lf"] else t["file_size"] - (t["last_size"] - 1)
             states[s.file_id] = replace(
-                s, file_size=f.size, last_write_utc=f.modified, indexed_length=end, indexed_line_count=last_line or 0, is_fully_indexed=t["ends_with_lf"], fields_header=t["last_header"],
+                s, file_size=f.size, last_write_utc=f.modified, indexed_length=end, indexed_line_count=last_line or 0, physical_lines=t["file_lines"] - (not t["ends_with_lf"]), is_fully_indexed=t["ends_with_lf"], fields_header=t["last_header"],
                 prefix_length=min(PREFIX, f.size), prefix_sha256=digests.get(f.path), last_indexed_at=now,
             )
         return sum(n for n, _ in counts.values())
@@ -284,12 +285,12 @@ class LogStore:
         """Appended bytes: only rows past the checkpoint that are not stored yet are added."""
         if not files:
             return 0
-        ranges = [{"path": f.path, "offset": s.indexed_length, "line": self._lines_before(s), "header": s.fields_header, "stop": f.size} for f, s in files]
+        ranges = [{"path": f.path, "offset": s.indexed_length, "line": s.physical_lines, "header": s.fields_header, "stop": f.size} for f, s in files]
         self.spark.dataSource.register(RangeSource)
         lines = durable(self.spark.read.format("w3c_ranges").option("ranges", json.dumps(ranges)).load(), "appended").where("is_complete_line")
         ends = {r[0]: r for r in lines.groupBy("source_path").agg(F.max("end_offset"), F.max("line_number"), F.max_by("header", "line_number")).collect()}
         rows = self._with_ids(parse_ranged(lines, ip_priority=self.ip_priority), files, source)
-        least = min(r["line"] for r in ranges)
+        least = min(s.indexed_line_count for _, s in files)
         ids = [s.file_id for _, s in files]
         there = self.entries().where((F.col("source_id") == source.source_id) & F.col("file_id").isin(ids) & (F.col("line_number") > least)).select("file_id", "line_number")
         rows = durable(rows.join(there, ["file_id", "line_number"], "left_anti").select(*STORED.names), "new-rows")
@@ -301,16 +302,11 @@ class LogStore:
             end = ends.get(f.path)
             to = end[1] if end else s.indexed_length
             states[s.file_id] = replace(
-                s, file_size=f.size, last_write_utc=f.modified, indexed_length=to, indexed_line_count=max(last.get(s.file_id, 0), s.indexed_line_count), is_fully_indexed=to >= f.size,
+                s, file_size=f.size, last_write_utc=f.modified, indexed_length=to, indexed_line_count=max(last.get(s.file_id, 0), s.indexed_line_count), physical_lines=end[2] if end else s.physical_lines, is_fully_indexed=to >= f.size,
                 fields_header=end[3] if end else s.fields_header, prefix_length=min(PREFIX, f.size), prefix_sha256=digests.get(f.path), last_indexed_at=now,
             )
         return rows.count()
 
-    def _lines_before(self, s: FileState) -> int:
-        """Physical lines before the checkpoint. The catalogue keeps the last record's number, which directives or
-        blank lines may follow, so they are counted unless nothing can have followed."""
-        return last_header(s.full_path, s.indexed_length)[1]
-
     # Maintenance.
 
     def _delete(self, path: str) -> None:
@@ -388,7 +384,7 @@ class LogStore:
                 continue
             stored.append((f.path, s.file_id))
             if not s.is_fully_indexed or s.indexed_length < f.size:
-                tails.append({"path": f.path, "offset": s.indexed_length, "line": self._lines_before(s), "header": s.fields_header})
+                tails.append({"path": f.path, "offset": s.indexed_length, "line": s.physical_lines, "header": s.fields_header})
         raw = read_w3c(self.spark, whole, ip_priority=self.ip_priority)
         if tails:
             raw = raw.unionByName(read_ranges(self.spark, tails, ip_priority=self.ip_priority))

@@ -70,6 +70,7 @@ LOG_FILES = T.StructType([
     T.StructField("last_write_utc", T.TimestampType()),
     T.StructField("indexed_length", T.LongType()),
     T.StructField("indexed_line_count", T.LongType()),
+    T.StructField("physical_lines", T.LongType()),
     T.StructField("is_fully_indexed", T.BooleanType()),
     T.StructField("fields_header", T.StringType()),
     T.StructField("prefix_length", T.LongType()),

@@ -106,7 +106,7 @@ def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORIT
     Directives, blank lines, lines without a header in effect and lines whose date column holds something else
     than a date are left out; a value that cannot be read is null.
     """
-    lines = lines.where((F.col("text") != "") & ~F.startswith(F.col("text"), F.lit("#")) & (F.col("layout")["n_fields"] > 0))
+    lines = lines.where((F.col("text") != "") & ~F.startswith(F.col("text"), F.lit("#")))
     position = {name: k for k, name in enumerate(SLOTS)}
     where = F.col("layout")
 
@@ -118,9 +118,11 @@ def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORIT
         raw_date = F.get(t, where["slots"][position["date"]])
         dated = raw_date.isNull() | raw_date.isin("", "-") | (raw_date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(raw_date, F.lit("yyyy-MM-dd")).isNotNull())
         extras = F.when(F.size(where["extras"]) > 0, F.map_from_entries(F.transform(where["extras"], lambda x: F.struct(x["name"], at(x["pos"])))))
-        return F.struct(*slots, client_ip.resolve(tries, own).alias("resolved_client_ip"), F.coalesce(dated, F.lit(False)).alias("valid"), extras.alias("additional_fields"))
+        return F.struct(*slots, client_ip.resolve(tries, own).alias("resolved_client_ip"), F.coalesce(dated & (where["n_fields"] > 0), F.lit(False)).alias("valid"), extras.alias("additional_fields"))
 
-    rows = lines.select("source_path", "line_number", "text", "is_complete_line", text.let(text.tokenize(F.col("text")), read).alias("v")).where("v.valid")
+    # exploding the valid ones, unlike filtering, does not make the optimizer parse each line twice
+    valid = F.filter(F.array(text.let(text.tokenize(F.col("text")), read)), lambda v: v["valid"])
+    rows = lines.select("source_path", "line_number", "text", "is_complete_line", F.explode(valid).alias("v"))
     value = lambda n: F.col("v")[n]
     made = {n: value(n) for n in SLOTS if n not in ("date", "time")}
     made |= {n: text.to_int(value(n)) for n in _INTS} | {n: text.to_long(value(n)) for n in _LONGS}

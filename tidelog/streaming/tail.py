@@ -169,7 +169,7 @@ def tail(spark: SparkSession, source: LogSource, store=None, request: SearchRequ
     if store is not None:
         for s in store._states().values():
             if s.source_id == source.source_id and s.indexed_length > 0:
-                known[s.full_path.removeprefix("file://").removeprefix("file:")] = {"off": s.indexed_length, "line": store._lines_before(s), "hdr": s.fields_header}
+                known[s.full_path.removeprefix("file://").removeprefix("file:")] = {"off": s.indexed_length, "line": s.physical_lines, "hdr": s.fields_header}
     reader = spark.readStream.format("w3c_tail").option("path", source.path).option("recursive", str(source.include_subfolders).lower()).option("checkpoint", json.dumps(known))
     entries = parse_ranged(reader.load(), ip_priority=ip_priority)
     return entries.where(to_predicate(request, entries)) if request else entries
