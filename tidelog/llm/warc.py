@@ -86,7 +86,7 @@ class _Shard:
         if self.out is None:
             self.name = f"pages-{self.shard:06d}-{self.count:05d}.warc.gz"
             self.fs.create_dir(self.temp, recursive=True)
-            self.out, self.size, self.records, self.sum = self.fs.open_output_stream(f"{self.temp}/{self.name}"), 0, 0, hashlib.sha256()
+            self.out, self.size, self.records, self.sum = self.fs.open_output_stream(f"{self.temp}/{self.name}", compression=None), 0, 0, hashlib.sha256()
             self._member(info_record(self.name))
         self._member(record)
         self.records += 1
@@ -209,7 +209,7 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
         fs, base = pafs.FileSystem.from_uri(root)
         for b in batches:
             for name in b.column(0).to_pylist():
-                with fs.open_input_stream(f"{base}/{name}") as stream:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     rows = []
                     for headers, block in read_records(stream):
                         if headers["WARC-Type"] == "warcinfo":
