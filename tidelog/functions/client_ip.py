@@ -6,12 +6,10 @@ also bracketed with a port or with a zone. Shorthand such as ``1`` or ``1.2`` is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import blank
+from tidelog.functions.text import strip, value_or_null
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -32,17 +30,18 @@ def _ipv6() -> str:
 
 
 IPV6 = _ipv6()
-ADDRESS = rf"^(?:{IPV4}|(?:{IPV6})(?:%[^\s%]+)?|\[(?:{IPV6})\](?::[0-9]{{1,5}})?)$"
+V4 = rf"^{IPV4}$"
+V6 = rf"^(?:(?:{IPV6})(?:%[^\s%]+)?|\[(?:{IPV6})\](?::[0-9]{{1,5}})?)$"
 
 
 def is_ip(x: Column) -> Column:
-    return F.coalesce(x.rlike(ADDRESS), F.lit(False))
+    return F.coalesce(F.when(F.contains(x, F.lit(":")), x.rlike(V6)).otherwise(x.rlike(V4)), F.lit(False))
 
 
 def _items(value: Column) -> Column:
     """The parts of a comma-separated list; none for a missing value."""
-    parts = F.transform(F.split(value, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return F.when(~blank(value) & (value != "-"), parts).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.split(value, ","), strip)
+    return F.when(value_or_null(value).isNotNull(), parts).otherwise(F.array().cast("array<string>"))
 
 
 def first_valid_ip(value: Column) -> Column:
@@ -50,6 +49,6 @@ def first_valid_ip(value: Column) -> Column:
     return F.get(F.filter(_items(value), is_ip), F.lit(0))
 
 
-def resolve(candidates: Sequence[Column], client_ip: Column) -> Column:
-    """The first address in the candidates, in order of trust, or else the connection's own."""
-    return F.get(F.filter(F.flatten(F.transform(F.array(*candidates, client_ip), _items)), is_ip), F.lit(0))
+def resolve(candidates: Column) -> Column:
+    """The first address in an array of header values in order of trust, the connection's own last."""
+    return F.get(F.filter(F.flatten(F.transform(candidates, _items)), is_ip), F.lit(0))

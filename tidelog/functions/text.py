@@ -28,9 +28,16 @@ def equals(x: Column, other: str) -> Column:
 
 def tokenize(line: Column) -> Column:
     """Tokens of a log line. A quote opens or closes quoting anywhere; a leading quote is
-    dropped, and a token that has a later quote ends before its last one."""
-    unopened = lambda t: F.regexp_replace(t, '^"', "")
-    return F.transform(F.regexp_extract_all(line, F.lit(TOKEN_RUN), 1), lambda t: F.regexp_replace(unopened(t), r'(?s)\A(.+)".*\z', "$1"))
+    dropped, and a token that has a later quote ends before its last one.
+
+    Most lines have no quote and are split outright; only tokens that have one are trimmed of it.
+    """
+    unquoted = lambda t: F.regexp_replace(F.regexp_replace(t, '^"', ""), r'(?s)\A(.+)".*\z', "$1")
+    has_quote = lambda x: F.contains(x, F.lit('"'))
+    ascii_only = F.length(line) == F.octet_length(line)
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(TOKEN_RUN), 1), lambda t: F.when(has_quote(t), unquoted(t)).otherwise(t))
+    plain = F.when(ascii_only, F.split(line, r"[ \t-\r]+")).otherwise(F.split(line, r"(?U)\s+"))
+    return F.when(has_quote(line), quoted).otherwise(F.filter(plain, lambda t: t != ""))
 
 
 def normalize_header(name: Column) -> Column:
@@ -38,9 +45,20 @@ def normalize_header(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, HEADER_JUNK, ""))
 
 
+def _starts_plainly(x: Column) -> Column:
+    """The first character is visible ASCII: such a text is not blank, and no pattern need be tried."""
+    return F.coalesce(F.substring(x, 1, 1).between("!", "~"), F.lit(False))
+
+
 def value_or_null(x: Column) -> Column:
     """Null for a missing value: blank or a lone dash."""
-    return F.when(~blank(x) & (x != "-"), x)
+    return F.when((x != "-") & (_starts_plainly(x) | ~blank(x)), x)
+
+
+def strip(x: Column) -> Column:
+    """Without Unicode white space on either side."""
+    plain = _starts_plainly(x) & _starts_plainly(F.substring(x, -1, 1))
+    return F.when(plain, x).otherwise(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
 def to_int(x: Column) -> Column:
@@ -51,10 +69,16 @@ def to_long(x: Column) -> Column:
     return x.try_cast("bigint")
 
 
+def to_date(x: Column) -> Column:
+    """The day of an exact ``yyyy-MM-dd``; null if it is something else or no such day."""
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x.try_cast("date"))
+
+
 def to_timestamp(date: Column, time: Column) -> Column:
-    """UTC instant of an exact ``yyyy-MM-dd`` and ``HH:mm:ss``; null if either is missing or wrong."""
-    exact = date.rlike(r"^\d{4}-\d{2}-\d{2}$") & time.rlike(r"^\d{2}:\d{2}:\d{2}$")
-    return F.when(exact, F.try_to_timestamp(F.concat(date, F.lit(" "), time, F.lit(" +0000")), F.lit("yyyy-MM-dd HH:mm:ss Z")))
+    """UTC instant of an exact ``yyyy-MM-dd`` and ``HH:mm:ss``, whatever the session's zone; null if either is missing or wrong."""
+    part = lambda at: F.substring(time, at, 2).cast("long")
+    seconds = F.unix_date(to_date(date)).cast("long") * 86_400 + part(1) * 3600 + part(4) * 60 + part(7)
+    return F.when(time.rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), F.timestamp_seconds(seconds))
 
 
 def display_url(stem: Column, query: Column) -> Column:

@@ -119,7 +119,7 @@ _IPS = "CASE line_number % 4 WHEN 0 THEN 'unknown, ' || client_ip || ', 8.8.8.8'
 _on_log(
     "client_ip_resolve",
     f"SELECT line_number, CASE line_number % 4 WHEN 3 THEN '2001:db8::' || (line_number % 100) ELSE client_ip END AS resolved FROM log",
-    lambda log: log.select("line_number", client_ip.resolve([F.expr(_IPS)], F.col("client_ip")).alias("resolved")),
+    lambda log: log.select("line_number", client_ip.resolve(F.array(F.expr(_IPS), F.col("client_ip"))).alias("resolved")),
 )
 _on_log(
     "keyword_intent",

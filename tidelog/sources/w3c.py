@@ -112,18 +112,22 @@ def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORIT
 
     def read(t: Column) -> Column:
         at = lambda pos: text.value_or_null(F.get(t, pos))
-        slots = [at(where["slots"][k]).alias(name) for name, k in position.items()]
-        tries = [F.coalesce(at(where["candidates"][k]["first"]), at(where["candidates"][k]["then"])) for k in range(len(ip_priority))]
-        own = at(where["slots"][position["client_ip"]])
         raw_date = F.get(t, where["slots"][position["date"]])
-        dated = raw_date.isNull() | raw_date.isin("", "-") | (raw_date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(raw_date, F.lit("yyyy-MM-dd")).isNotNull())
+        dated = raw_date.isNull() | raw_date.isin("", "-") | text.to_date(raw_date).isNotNull()
+        tries = F.transform(where["candidates"], lambda c: F.coalesce(at(c["first"]), at(c["then"])))
+        own = F.array(at(where["slots"][position["client_ip"]]))
         extras = F.when(F.size(where["extras"]) > 0, F.map_from_entries(F.transform(where["extras"], lambda x: F.struct(x["name"], at(x["pos"])))))
-        return F.struct(*slots, client_ip.resolve(tries, own).alias("resolved_client_ip"), F.coalesce(dated & (where["n_fields"] > 0), F.lit(False)).alias("valid"), extras.alias("additional_fields"))
+        return F.struct(
+            F.coalesce(dated & (where["n_fields"] > 0), F.lit(False)).alias("valid"),
+            F.transform(F.transform(where["slots"], lambda p: F.get(t, p)), text.value_or_null).alias("values"),
+            client_ip.resolve(F.concat(tries, own)).alias("resolved_client_ip"),
+            extras.alias("additional_fields"),
+        )
 
     # exploding the valid ones, unlike filtering, does not make the optimizer parse each line twice
     valid = F.filter(F.array(text.let(text.tokenize(F.col("text")), read)), lambda v: v["valid"])
     rows = lines.select("source_path", "line_number", "text", "is_complete_line", F.explode(valid).alias("v"))
-    value = lambda n: F.col("v")[n]
+    value = lambda n: F.col("v")["values"][position[n]]
     made = {n: value(n) for n in SLOTS if n not in ("date", "time")}
     made |= {n: text.to_int(value(n)) for n in _INTS} | {n: text.to_long(value(n)) for n in _LONGS}
     made |= {
@@ -133,8 +137,8 @@ def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORIT
         "source_path": F.col("source_path"),
         "line_number": F.col("line_number"),
         "timestamp_utc": text.to_timestamp(value("date"), value("time")),
-        "resolved_client_ip": value("resolved_client_ip"),
-        "additional_fields": value("additional_fields"),
+        "resolved_client_ip": F.col("v")["resolved_client_ip"],
+        "additional_fields": F.col("v")["additional_fields"],
         "raw_line": F.col("text"),
         "is_complete_line": F.col("is_complete_line"),
     }
