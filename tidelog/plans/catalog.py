@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -12,7 +13,12 @@ from tidelog.functions import client_ip, text
 from tidelog.operators import analyze, export, search, security
 from tidelog.plans.access_log import access_log, events, oracle
 from tidelog.plans.predicate import classify_keyword, to_predicate
+from tidelog.operators.store import LogStore, index_state
 from tidelog.plans.request import SearchRequest
+from tidelog.sources.files import LogSource
+from tidelog.sources.w3c import read_w3c
+from tidelog.storage import filesystem, fresh_path
+from tidelog.streaming.tail import live_trend
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,8 +293,6 @@ _STATE = "CASE WHEN n = 1000 AND file_id % 4 <> 3 THEN CASE WHEN file_id % 4 = 2
 
 @_query("index_state", _with(_FILES, f"SELECT file_id, {_STATE} AS state FROM files"))
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.operators.store import index_state
-
     files = _files(spark, sf_dir)
     full = (F.col("n") == 1000) & (F.col("file_id") % 4 != 3)
     t = F.lit("2024-02-01").cast("timestamp_ntz")
@@ -306,6 +310,59 @@ _on_log(
 )
 _on_log("export_json_rows", "SELECT line_number, CAST(to_json({'Status': CAST(status_code AS VARCHAR), 'Method': method, 'ClientIp': client_ip, 'Url': display_url, 'TimeTakenMs': time_taken_ms, 'LineNumber': line_number}) AS VARCHAR) AS json FROM log", lambda log: export.json_rows(log, ("Status", "Method", "ClientIp", "Url", "TimeTakenMs", "LineNumber")))
 
+# Through text and back: the log written as W3C files, some with several headers, and scanned.
+_FIELDS = "#Fields: date time cs-method cs-uri-stem cs-uri-query sc-status time-taken c-ip cs(User-Agent) X-Forwarded-For"
+_SCANNED = "method, uri_stem, uri_query, status_code, time_taken_ms, client_ip, resolved_client_ip, user_agent, timestamp_utc"
+_SCAN_SQL = "SELECT method, uri_stem, uri_query, status_code, time_taken_ms, client_ip, CASE WHEN line_number % 3 = 0 THEN '9.9.9.9' ELSE client_ip END AS resolved_client_ip, user_agent, date_trunc('second', timestamp_utc) AS timestamp_utc FROM log"
+
+
+def _written_log(spark: SparkSession, sf_dir: str, only: str = "true") -> str:
+    """The folder of W3C files made from the log's lines that meet ``only``."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    forwarded = F.when(F.col("line_number") % 3 == 0, '"unknown, 9.9.9.9"').otherwise("-")
+    agent = F.concat(F.lit('"'), F.col("user_agent"), F.lit('"'))
+    day = [F.date_format("timestamp_utc", p) for p in ("yyyy-MM-dd", "HH:mm:ss")]
+    line = F.concat_ws(" ", *day, *(value(c) for c in ("method", "uri_stem", "uri_query", "status_code", "time_taken_ms", "client_ip")), agent, forwarded)
+    rows = access_log(spark, sf_dir).where(only).select((F.col("line_number") % 16).alias("part"), F.col("line_number").alias("ord"), line.alias("line"))
+    heads = spark.range(16).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("ord"), F.lit(_FIELDS).alias("line"))
+    path = fresh_path(spark, "w3c")
+    rows.unionByName(heads).repartition(8, "part").sortWithinPartitions("part", "ord").select("line").write.text(path)
+    return path
+
+
+def _scanned(entries: DataFrame) -> DataFrame:
+    return entries.select(*_SCANNED.split(", ")).withColumn("timestamp_utc", F.to_timestamp_ntz(F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss")))
+
+
+@_query("w3c_scan", oracle(_SCAN_SQL))
+def _w3c_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(read_w3c(spark, _written_log(spark, sf_dir)))
+
+
+@_query("store_index_and_search", oracle(f"SELECT * FROM ({_SCAN_SQL}) s WHERE status_code = 500 AND contains(lower(user_agent), 'mozilla')"))
+def _store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = LogStore(spark, fresh_path(spark, "store"))
+    folder = _written_log(spark, sf_dir)
+    fs, where = filesystem(spark, folder)
+    for k, status in enumerate(s for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")):
+        fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.log"))
+    source = store.save_source(LogSource(folder))
+    store.index(source)
+    return _scanned(store.search(SearchRequest(source=source, status_code=500, user_agent_contains="mozilla", max_results=None)))
+
+
+@_query("stream_live_trend", oracle("SELECT date_trunc('hour', timestamp_utc) AS bucket, count(*) AS count FROM log GROUP BY 1"))
+def _stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly trend as a stream that has read all there is."""
+    schema = events(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"trend_{uuid.uuid4().hex}"
+    rows = live_trend(stream.select(F.col("ts").cast("timestamp").alias("timestamp_utc")), "1 hour")
+    query = rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.to_timestamp_ntz(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss")).alias("bucket"), "count")
+
+
 # Extensions.
 _on_log("status_rollup", "SELECT method, status_code, count(*) AS count FROM log GROUP BY ROLLUP (method, status_code)", lambda log: log.rollup("method", "status_code").agg(F.count("*").alias("count")))
 _on_log("status_cube", "SELECT method, status_code, count(*) AS count FROM log GROUP BY CUBE (method, status_code)", lambda log: log.cube("method", "status_code").agg(F.count("*").alias("count")))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/tidelog/{label}-{uuid.uuid4().hex}"
+    parent = _scopes[-1] if _scopes else f"{shared_dir(spark)}/tidelog"
+    return f"{parent}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -36,6 +40,30 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables made inside are deleted at the end: for work whose result is written elsewhere before that."""
+    path = fresh_path(spark, label)
+    _scopes.append(path)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, where = filesystem(spark, path)
+    fs.delete(where, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`durable` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system and path object for ``path``."""
     jvm = spark._jvm
