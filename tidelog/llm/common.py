@@ -6,51 +6,19 @@ driver and all executors share, so a lost executor costs a re-read and never a r
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.storage import delete, drop_table, durable, fresh_path, scratch
+
+__all__ = ["ascii_lower", "delete", "drop_table", "durable", "fresh_path", "let", "scratch", "words_of"]
+
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, or a local one of our own where none is configured (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
-    return _fallback[0]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/tidelog/{label}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back: lineage ends here."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`durable` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, however often the body refers to it.
