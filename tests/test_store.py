@@ -132,12 +132,12 @@ def test_raw_stored_and_mixed_searches_agree(spark, place):
     folder, store, source = place
 
     def lines():
-        got = []
+        got, whole = [], read_w3c(spark, str(folder)).cache()
         for r in REQUESTS:
             r = replace(r, source=source, max_results=None)
             got.append(sorted(x["line_number"] for x in store.search(r).collect()))
-            whole = read_w3c(spark, str(folder))
             assert got[-1] == sorted(x["line_number"] for x in whole.where(to_predicate(r, whole)).collect())
+        whole.unpersist()
         return got
 
     raw = lines()

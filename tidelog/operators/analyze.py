@@ -1,5 +1,9 @@
 """Ready-made analyses. Each returns small DataFrames; texts group without regard to case and
-show the spelling that comes first in result order."""
+show the spelling whose last use is latest, the greater spelling of equally late ones.
+
+Spellings are counted first, with numbers alone as state, so that Spark aggregates by hashing; only
+the distinct spellings are then brought together by their upper case.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import blank, display_status, display_url
-from tidelog.operators.search import result_order, stream_position
+from tidelog.operators.search import result_order
 
 TOP, TIMELINE = 20, 500
 
@@ -23,11 +27,21 @@ def address() -> Column:
     return F.coalesce("resolved_client_ip", "client_ip")
 
 
+def by_spelling(entries: DataFrame, key: Column, name: str, *more: Column) -> DataFrame:
+    """``(name, count, last_seen, more...)`` of each key as it is spelt; ``more`` are aggregates of numbers."""
+    return entries.select("*", key.alias("__key")).groupBy(F.col("__key").alias(name)).agg(F.count("*").alias("count"), F.max("timestamp_utc").alias("last_seen"), *more)
+
+
+def shown(name: str) -> Column:
+    """The spelling to show for a group of them."""
+    return F.max_by(name, F.struct("last_seen", name)).alias(name)
+
+
 def top_by_count(entries: DataFrame, key: Column, name: str, most: int = TOP, keep_blank: bool = False) -> DataFrame:
     """``(name, count)`` of the most frequent keys; ties go by upper-case key."""
-    keyed = entries.select(key.alias("k"), stream_position().alias("at"))
-    keyed = keyed if keep_blank else keyed.where(~blank(F.col("k")))
-    groups = keyed.groupBy(F.upper("k").alias("u")).agg(F.max_by("k", "at").alias(name), F.count("*").alias("count"))
+    spelt = by_spelling(entries, key, name)
+    spelt = spelt if keep_blank else spelt.where(~blank(F.col(name)))
+    groups = spelt.groupBy(F.upper(name).alias("u")).agg(shown(name), F.sum("count").alias("count"))
     return groups.orderBy(F.desc("count"), "u").limit(most).select(name, "count")
 
 
@@ -73,14 +87,14 @@ def of_ip(entries: DataFrame, ip: str) -> DataFrame:
 def analyze_ip(entries: DataFrame, ip: str) -> IpReport:
     """Everything about one address."""
     rows = of_ip(entries, ip)
-    agents = rows.where(~blank(F.col("user_agent"))).groupBy(F.upper("user_agent").alias("u"))
-    agents = agents.agg(F.max_by("user_agent", stream_position()).alias("user_agent"), F.max(stream_position()).alias("at"))
+    agents = by_spelling(rows.where(~blank(F.col("user_agent"))), F.col("user_agent"), "user_agent")
+    agents = agents.groupBy(F.upper("user_agent").alias("u")).agg(shown("user_agent"), F.max("last_seen").alias("at"))
     items = timeline(rows).orderBy(F.asc_nulls_first("timestamp_utc"), "source_path", "line_number")
     sub = F.col("sub_status_code") if "sub_status_code" in rows.columns else F.lit(None).cast("int")
     return IpReport(
         ip_summary(rows),
         top_by_count(rows, F.col("url"), "url"),
-        agents.orderBy(F.desc("at"), "u").limit(TOP).select("user_agent"),
+        agents.orderBy(F.desc_nulls_last("at"), "u").limit(TOP).select("user_agent"),
         distribution(rows.withColumn("method", F.upper("method")), "method"),
         distribution(rows, "status_code"),
         items.select("timestamp_utc", "method", "url", display_status(F.col("status_code"), sub).alias("status")),
@@ -142,8 +156,9 @@ def slow_of(entries: DataFrame, threshold_ms: int) -> DataFrame:
 
 
 def slow_urls(rows: DataFrame) -> DataFrame:
-    groups = rows.select("url", "time_taken_ms", stream_position().alias("at")).groupBy(F.upper("url").alias("u"))
-    groups = groups.agg(F.max_by("url", "at").alias("url"), F.avg("time_taken_ms").alias("average_ms"), F.count("*").alias("count"))
+    spelt = by_spelling(rows, F.col("url"), "url", F.sum("time_taken_ms").alias("ms"))
+    groups = spelt.groupBy(F.upper("url").alias("u")).agg(shown("url"), F.sum("ms").alias("ms"), F.sum("count").alias("count"))
+    groups = groups.select("u", "url", (F.col("ms") / F.col("count")).alias("average_ms"), "count")
     return groups.orderBy(F.desc("average_ms"), "u").limit(TOP).select("url", "average_ms", "count")
 
 

@@ -15,11 +15,6 @@ def result_order() -> list[Column]:
     return [F.desc_nulls_last("timestamp_utc"), F.desc("source_path"), F.desc("line_number")]
 
 
-def stream_position() -> Column:
-    """A value that is largest for the first entry in result order: for ``max_by`` and ``min_by``."""
-    return F.struct("timestamp_utc", "source_path", "line_number")
-
-
 def matching(entries: DataFrame, request: SearchRequest) -> DataFrame:
     """The entries that meet the request, in no order and without limit: what analyses work on."""
     return entries.where(to_predicate(request, entries))

@@ -32,6 +32,8 @@ from tidelog.sources.w3c import parse_ranged, read_ranges, read_w3c, read_w3c_wi
 from tidelog.storage import durable, filesystem
 
 ID_BITS = 40
+#: File ids that a filter may list.
+LISTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -189,6 +191,13 @@ class LogStore:
         path = self._path("entries")
         return self.spark.read.schema(STORED).parquet(path) if self._exists(path) else self.spark.createDataFrame([], STORED)
 
+    def _rows_of(self, source: LogSource, ids: list[int]) -> DataFrame:
+        """Stored rows of some of the source's files: a filter on folders, or a join where the list is long."""
+        rows = self.entries().where(F.col("source_id") == source.source_id)
+        if len(ids) <= LISTED:
+            return rows.where(F.col("file_id").isin(ids))
+        return rows.join(self.spark.createDataFrame([(i,) for i in ids], "file_id long"), "file_id", "left_semi")
+
     def find_file(self, source: LogSource, path: str) -> FileState | None:
         return next((s for s in self._states().values() if s.source_id == source.source_id and s.full_path.lower() == path.lower()), None)
 
@@ -263,7 +272,7 @@ class LogStore:
         rows = self._with_ids(entries, files, source)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "file_id").parquet(self._path("entries"))
         ids = [s.file_id for _, s in files]
-        kept = self.entries().where((F.col("source_id") == source.source_id) & F.col("file_id").isin(ids))
+        kept = self._rows_of(source, ids)
         counts = {r[0]: (r[1], r[2]) for r in kept.groupBy("file_id").agg(F.count("*"), F.max("line_number")).collect()}
         found = {t["source_path"]: t for t in totals.collect()}  # one row a file
         digests = prefix_digests(self.spark, [(f.path, f.size) for f, _ in files])
@@ -292,10 +301,10 @@ class LogStore:
         rows = self._with_ids(parse_ranged(lines, ip_priority=self.ip_priority), files, source)
         least = min(s.indexed_line_count for _, s in files)
         ids = [s.file_id for _, s in files]
-        there = self.entries().where((F.col("source_id") == source.source_id) & F.col("file_id").isin(ids) & (F.col("line_number") > least)).select("file_id", "line_number")
+        there = self._rows_of(source, ids).where(F.col("line_number") > least).select("file_id", "line_number")
         rows = durable(rows.join(there, ["file_id", "line_number"], "left_anti").select(*STORED.names), "new-rows")
         rows.write.mode("append").partitionBy("source_id", "file_id").parquet(self._path("entries"))
-        kept = self.entries().where((F.col("source_id") == source.source_id) & F.col("file_id").isin(ids))
+        kept = self._rows_of(source, ids)
         last = dict(kept.groupBy("file_id").agg(F.max("line_number")).collect())
         digests = prefix_digests(self.spark, [(f.path, f.size) for f, _ in files])
         for f, s in files:
@@ -382,16 +391,14 @@ class LogStore:
             if not is_usable(s, f, digests.get(f.path)):
                 whole.append(f.path)
                 continue
-            stored.append((f.path, s.file_id))
+            stored.append(s.file_id)
             if not s.is_fully_indexed or s.indexed_length < f.size:
                 tails.append({"path": f.path, "offset": s.indexed_length, "line": s.physical_lines, "header": s.fields_header})
         raw = read_w3c(self.spark, whole, ip_priority=self.ip_priority)
         if tails:
             raw = raw.unionByName(read_ranges(self.spark, tails, ip_priority=self.ip_priority))
         raw = raw.withColumn("source_id", F.lit(source.source_id).cast("long"))
-        usable = self.spark.createDataFrame(stored, "path string, file_id long")
-        indexed = self.entries().where(F.col("source_id") == source.source_id)
-        indexed = indexed.join(F.broadcast(usable.select("file_id")) if len(stored) < 100_000 else usable.select("file_id"), "file_id", "left_semi")
+        indexed = self._rows_of(source, stored)
         raw, indexed = matching(raw, request), matching(indexed, request)
         if not tails:  # a file is either raw or stored, so no line can be in both
             return raw.withColumn("is_indexed", F.lit(False)).unionByName(indexed.withColumn("is_indexed", F.lit(True)), allowMissingColumns=True)

@@ -124,7 +124,7 @@ _on_log(
 _IPS = "CASE line_number % 4 WHEN 0 THEN 'unknown, ' || client_ip || ', 8.8.8.8' WHEN 1 THEN '-' WHEN 2 THEN NULL ELSE '2001:db8::' || (line_number % 100) END"
 _on_log(
     "client_ip_resolve",
-    f"SELECT line_number, CASE line_number % 4 WHEN 3 THEN '2001:db8::' || (line_number % 100) ELSE client_ip END AS resolved FROM log",
+    "SELECT line_number, CASE line_number % 4 WHEN 3 THEN '2001:db8::' || (line_number % 100) ELSE client_ip END AS resolved FROM log",
     lambda log: log.select("line_number", client_ip.resolve(F.array(F.expr(_IPS), F.col("client_ip"))).alias("resolved")),
 )
 _on_log(
@@ -143,7 +143,7 @@ _on_log(
 
 
 def _top(key: str, name: str, where: str = "true", limit: str = "20") -> str:
-    return f"SELECT {name}, count FROM (SELECT upper({key}) AS u, first({key} {FIRST}) AS {name}, count(*) AS count FROM log WHERE {where} AND trim(coalesce({key}, '')) <> '' GROUP BY 1) ORDER BY count DESC, u LIMIT {limit}"
+    return f"SELECT shown AS {name}, count FROM (SELECT upper({key}) AS u, first({key} {FIRST}) AS shown, count(*) AS count FROM log WHERE {where} AND trim(coalesce({key}, '')) <> '' GROUP BY 1) ORDER BY count DESC, u LIMIT {limit}"
 
 
 _on_log("ip_top_urls", _top(URL, "url", "client_ip = '10.0.0.7'"), lambda log: analyze.analyze_ip(log, "10.0.0.7").top_urls)
@@ -184,7 +184,7 @@ _on_log(
 )
 _on_log("traffic_top_urls", _top(URL, "url"), lambda log: analyze.top_by_count(analyze.with_url(log), F.col("url"), "url"))
 _on_log("traffic_top_ips", _top("client_ip", "ip"), lambda log: analyze.top_by_count(log, analyze.address(), "ip"))
-_on_log("traffic_top_agents", _top("user_agent", "user_agent").replace("SELECT user_agent, count FROM (SELECT upper(user_agent) AS u", "SELECT agent AS user_agent, count FROM (SELECT upper(user_agent) AS u").replace(") AS user_agent, count(*)", ") AS agent, count(*)"), lambda log: analyze.top_by_count(log, F.col("user_agent"), "user_agent"))
+_on_log("traffic_top_agents", _top("user_agent", "user_agent"), lambda log: analyze.top_by_count(log, F.col("user_agent"), "user_agent"))
 _on_log("traffic_status_dist", "SELECT status_code, count(*) AS count FROM log GROUP BY status_code", lambda log: analyze.distribution(log, "status_code"))
 for _unit in ("minute", "hour", "day"):
     _on_log(f"traffic_trend_{_unit}", f"SELECT date_trunc('{_unit}', timestamp_utc) AS bucket, count(*) AS count FROM log GROUP BY 1", lambda log, u=_unit: analyze.trend(log, u))

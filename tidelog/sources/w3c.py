@@ -1,10 +1,11 @@
 """Scanning W3C extended logs whose columns are declared, and may change, inside the files.
 
-Bulk scans keep to Spark's text reader and to Catalyst expressions, and no line is shuffled. A
-first pass reduces each block of a file to its number of lines and the headers in it. From that
-small table follow, for each block, the number of lines before it and the headers that may be in effect
-in it. The second pass joins it to the lines by file and block, so that a file of any size is read
-by as many tasks as it has blocks. Catalyst broadcasts the table if it is small and shuffles if not.
+Bulk scans keep to Spark's text reader and to Catalyst expressions. A first pass reduces each block
+of a file to its number of lines and the headers in it. From that small table follow, for each
+block, the number of lines before it and the headers that may be in effect in it. The second pass
+joins it to the lines by file and block, so that a file of any size is read by as many tasks as
+it has blocks, and no line is shuffled while the table may be broadcast: some 150 bytes a block, up to
+BROADCAST_BLOCKS of them (a hundred terabytes in blocks of 128 MB). Beyond that the join shuffles.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ SLOTS = {
     "forwarded_for": ("xforwardedfor", "forwardedfor"),
     "real_client_ip": ("xrealip", "realip"),
 }
+#: Blocks, and distinct headers, up to which their tables are broadcast.
+BROADCAST_BLOCKS, BROADCAST_HEADERS = 1_000_000, 20_000
 _NAMED = [n for names in SLOTS.values() for n in names]
 _INTS = ("server_port", "status_code", "sub_status_code", "win32_status", "time_taken_ms")
 _LONGS = ("bytes_sent", "bytes_received")
@@ -100,7 +103,7 @@ def _is_name(name: str):
     return lambda x: x["norm"] == name
 
 
-def parse_lines(lines: DataFrame, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY) -> DataFrame:
+def parse_lines(lines: DataFrame) -> DataFrame:
     """Entries from ``lines(source_path, line_number, text, is_complete_line, layout)``.
 
     Directives, blank lines, lines without a header in effect and lines whose date column holds something else
@@ -166,8 +169,8 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool =
     return rows
 
 
-def scan_blocks(lines: DataFrame, ip_priority: Sequence[str], include_additional: bool) -> DataFrame:
-    """One row a file block: lines before it, the file's totals and the headers that may hold in it."""
+def scan_blocks(lines: DataFrame) -> DataFrame:
+    """One row a file block: lines before it, the file's totals and the hashes of the headers that may hold in it."""
     header = F.lower(F.substring("text", 1, 8)) == "#fields:"
     found = lines.select("source_path", "block", "file_size", "seq", "size", F.when(header, F.col("text")).alias("header"))
     headers = F.sort_array(F.collect_list(F.when(F.col("header").isNotNull(), F.struct("seq", "header"))))
@@ -178,7 +181,8 @@ def scan_blocks(lines: DataFrame, ip_priority: Sequence[str], include_additional
     w = Window.partitionBy("source_path").orderBy("block")
     before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bytes_read = F.sum("bytes").over(whole)
-    blocks = blocks.select(
+    last = F.when(F.size("headers") > 0, F.element_at("headers", -1)["header"])
+    return blocks.select(
         "source_path",
         "block",
         "first_seq",
@@ -188,20 +192,26 @@ def scan_blocks(lines: DataFrame, ip_priority: Sequence[str], include_additional
         ((bytes_read == F.col("file_size")) | (bytes_read == F.col("file_size") - 3)).alias("ends_with_lf"),
         F.col("file_size").alias("file_size"),
         F.last("last_size").over(whole).alias("last_size"),
-        F.last(F.when(F.size("headers") > 0, F.element_at("headers", -1)["header"]), ignorenulls=True).over(before).alias("inherited"),
-        F.last(F.when(F.size("headers") > 0, F.element_at("headers", -1)["header"]), ignorenulls=True).over(whole).alias("last_header"),
-        "headers",
+        F.last(last, ignorenulls=True).over(whole).alias("last_header"),
+        F.array_compact(F.concat(F.array(F.when(F.last(last, ignorenulls=True).over(before).isNotNull(), F.struct(F.lit(-1).cast("long").alias("seq"), F.last(last, ignorenulls=True).over(before).alias("header")))), F.col("headers"))).alias("headers"),
     )
-    known = F.concat(F.when(F.col("inherited").isNotNull(), F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.col("inherited").alias("header")))).otherwise(F.array().cast("array<struct<seq:bigint,header:string>>")), F.col("headers"))
-    return blocks.withColumn("layouts", F.transform(known, lambda h: F.struct(h["seq"].alias("seq"), layout(h["header"], ip_priority, include_additional).alias("layout")))).drop("inherited", "headers")
 
 
-def number_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, blocks: DataFrame, ip_priority: Sequence[str], include_additional: bool) -> DataFrame:
     """Lines with their physical number, completeness and the layout in effect (null before any header)."""
-    joined = lines.join(blocks.drop("file_size"), ["source_path", "block"])
+    texts = durable(blocks.select(F.explode("headers.header").alias("header")).distinct(), "headers")
+    layouts = texts.select(F.xxhash64("header").alias("held"), layout(F.col("header"), ip_priority, include_additional).alias("layout"))
+    layouts = F.broadcast(layouts) if texts.count() <= BROADCAST_HEADERS else layouts
+    known = F.transform("headers", lambda h: F.struct(h["seq"].alias("seq"), F.xxhash64(h["header"]).alias("held")))
+    small = blocks.select("source_path", "block", "first_seq", "before", "file_lines", "ends_with_lf", known.alias("known"))
+    small = F.broadcast(small) if blocks.count() <= BROADCAST_BLOCKS else small
+    joined = lines.select("source_path", "block", "seq", "text").join(small, ["source_path", "block"])
     number = F.col("before") + (F.col("seq") - F.col("first_seq")) + 1
-    now = F.when(F.size("layouts") == 1, F.when(F.col("layouts")[0]["seq"] < F.col("seq"), F.col("layouts")[0])).otherwise(F.try_element_at(F.filter("layouts", lambda h: h["seq"] < F.col("seq")), F.lit(-1)))
-    return joined.select("source_path", number.alias("line_number"), "text", (F.col("ends_with_lf") | (number < F.col("file_lines"))).alias("is_complete_line"), now["layout"].alias("layout"))
+    only = F.get("known", F.lit(0))
+    one = F.when(only["seq"] < F.col("seq"), only["held"])
+    now = F.when(F.size("known") == 1, one).otherwise(F.try_element_at(F.filter("known", lambda h: h["seq"] < F.col("seq")), F.lit(-1))["held"])
+    joined = joined.select("source_path", number.alias("line_number"), "text", (F.col("ends_with_lf") | (number < F.col("file_lines"))).alias("is_complete_line"), now.alias("held"))
+    return joined.join(layouts, "held", "left").drop("held")
 
 
 def read_w3c(
@@ -225,8 +235,8 @@ def read_w3c_with_totals(spark: SparkSession, paths: str | Sequence[str], *, rec
         empty = spark.createDataFrame([], ENTRY)
         return empty, spark.createDataFrame([], "source_path string, file_size long, file_lines long, ends_with_lf boolean, last_size long, last_header string")
     lines = read_text(spark, paths, recursive, fallback)
-    blocks = durable(scan_blocks(lines, ip_priority, include_additional), "layouts")
-    entries = parse_lines(number_lines(lines, blocks), ip_priority)
+    blocks = durable(scan_blocks(lines), "layouts")
+    entries = parse_lines(number_lines(lines, blocks, ip_priority, include_additional))
     totals = blocks.select("source_path", "file_size", "file_lines", "ends_with_lf", "last_size", "last_header").distinct()
     return entries if include_incomplete else entries.where("is_complete_line"), totals
 
@@ -241,4 +251,4 @@ def read_ranges(spark: SparkSession, ranges: Sequence[dict], *, include_addition
 def parse_ranged(lines: DataFrame, *, include_additional: bool = False, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY) -> DataFrame:
     """Entries of lines that carry their header's text."""
     lines = lines.where(F.col("header").isNotNull() & (F.lower(F.substring("text", 1, 8)) != "#fields:"))
-    return parse_lines(lines.withColumn("layout", layout(F.col("header"), ip_priority, include_additional)), ip_priority)
+    return parse_lines(lines.withColumn("layout", layout(F.col("header"), ip_priority, include_additional)))
