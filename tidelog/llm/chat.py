@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import each_batch
+
 START, END = "<|im_start|>", "<|im_end|>"
 _BAR = re.compile(r"<(\\*)\|")
 _ESCAPED_BAR = re.compile(r"<(\\*)\\\|")
@@ -144,7 +146,7 @@ def format_turns(messages: DataFrame, trained_roles: tuple[str, ...] = ("assista
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _arrow_types()
-        for b in batches:
+        for b in each_batch(batches):
             done = [format_turn(r, p, trained) for r, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([d[k] for d in done], t) for k, t in kinds.items())], names=["conv_id", "turn", "role", *kinds])
 
@@ -189,7 +191,7 @@ def digest_turns(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names = None, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        for b in batches:
+        for b in each_batch(batches):
             rows, id_type = [], b.schema.field(0).type
             for conv_id, formatted, loss in zip(b.column(0).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
                 if now is None or now.conv_id != conv_id:

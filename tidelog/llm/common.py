@@ -6,20 +6,39 @@ driver and all executors share, so a lost executor costs a re-read and never a r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.storage import delete, drop_table, durable, fresh_path, scratch
 
-__all__ = ["ascii_lower", "delete", "drop_table", "durable", "fresh_path", "let", "scratch", "words_of"]
+__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "fresh_path", "let", "long_rows", "scratch", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold a batch.
+BATCH_ROWS = 2000
+
+
+def long_rows(spark: SparkSession) -> SparkSession:
+    """Set the session's Arrow batches to BATCH_ROWS rows, for jobs whose rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches one by one; what Arrow holds for those already done goes back to the system."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, however often the body refers to it.
 

@@ -19,7 +19,7 @@ an empty benchmark or an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.common import each_batch
 from tidelog.llm.tokens import SeedTable, flat, pieces, seed_hashes, word_hashes
 
 #: Words that count (1) and words that are ignored (0).
@@ -105,7 +106,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = Block(items, shortest=shortest)
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in each_batch(batches):
                 hashes, offsets = flat(b.column(1))
                 for first, last in pieces(offsets):
                     part = hashes[offsets[first] : offsets[last]]
@@ -117,20 +118,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text overlaps no benchmark item; rows pass through block by block, unshuffled."""
-    schema, kept = docs.schema, docs
-    for items in _blocks(benchmark, item_col, item_text, block_words):
-        block = Block(items, shortest=shortest)
+def _cleanness(block: Block, *limits: float) -> Callable[[pa.Array], pa.Array]:
+    """Word hashes of texts to whether each is free of the block's items."""
+
+    def clean(words: pa.Array) -> pa.Array:
+        hashes, offsets = flat(words)
+        out = np.ones(len(words), bool)
+        for first, last in pieces(offsets):
+            part = hashes[offsets[first] : offsets[last]]
+            out[[first + g[0] for g in block.search(part, offsets[first : last + 1] - offsets[first], *limits)]] = False
+        pa.default_memory_pool().release_unused()
+        return pa.array(out)
+
+    return clean
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hashes, offsets = flat(b.column(b.num_columns - 1))
-                clean = np.ones(b.num_rows, bool)
-                for first, last in pieces(offsets):
-                    part = hashes[offsets[first] : offsets[last]]
-                    clean[[first + g[0] for g in block.search(part, offsets[first : last + 1] - offsets[first], least_words, least_share, least_identity)]] = False
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(clean))
 
-        kept = kept.select("*", word_hashes(F.col(text)).alias("__words")).mapInArrow(run, schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text overlaps no benchmark item. Only word hashes go to Python, and no row is shuffled."""
+    kept = docs
+    for items in _blocks(benchmark, item_col, item_text, block_words):
+        clean = _cleanness(Block(items, shortest=shortest), least_words, least_share, least_identity)
+        kept = kept.where(F.arrow_udf(clean, "boolean")(word_hashes(F.col(text))))
     return kept

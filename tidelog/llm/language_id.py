@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, each_batch
 from tidelog.llm.learning import fold_of
 
 PROFILE = 300
@@ -57,7 +57,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nda
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (language, code) within a task's batch, added up before the shuffle."""
-    for b in batches:
+    for b in each_batch(batches):
         lang, total = b.column(0).to_pylist(), {}
         for name, text in zip(lang, b.column(1), strict=True):
             total.setdefault(name, []).append(grams_of(text.as_py()))
@@ -120,7 +120,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     rows = docs.select(F.col(id_col), F.coalesce(fold_of(F.col(id_col), folds) == held_out, F.lit(False)).alias("held_out"), _plain(text).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in each_batch(batches):
             found = [profiles.predict(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.common import each_batch
 from tidelog.llm.tokens import SeedTable, flat, pieces, seed_hashes, word_hashes
 
 SHINGLE, WINDOW, BAND = 3, 2, 8
@@ -150,7 +151,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     span_type = pa.list_(pa.struct([(n, pa.int32()) for n in SPAN]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in each_batch(batches):
             hashes, offsets = flat(b.column(2))
             for first, last in pieces(offsets):
                 found = scanner.scan(hashes[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import WORD_CHAR, durable, let, words_of
+from tidelog.llm.common import WORD_CHAR, durable, each_batch, let, words_of
 from tidelog.llm.learning import agreed_labels, fold_of, hash_sample
 from tidelog.llm.quality_rules import STOP_WORDS, SYMBOLS
 
@@ -122,7 +122,7 @@ def score_rows(model: QuadraticModel, rows: DataFrame, dims: int) -> DataFrame:
     """``rows(..., x)`` with ``x`` replaced by ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in each_batch(batches):
             x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x))], names=[*b.schema.names[:-1], "score"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ascii_lower, durable, let, words_of
+from tidelog.llm.common import ascii_lower, durable, each_batch, let, words_of
 from tidelog.llm.graph import components
 
 #: Hashes whose bits are unpacked at a time: 64 bytes each.
@@ -66,7 +66,7 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _to_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in each_batch(batches):
         col = b.column(b.num_columns - 1)
         offsets = col.offsets.to_numpy().astype(np.int64)
         hashes = col.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64) if len(col.values) else np.empty(0, np.uint64)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, let
+from tidelog.llm.common import durable, each_batch, let
 from tidelog.llm.learning import agreed_labels, fold_of, hash_sample
 
 BITS = 20
@@ -146,7 +146,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col), F.coalesce(fold_of(F.col(id_col), folds) == held_out, F.lit(False)).alias("held_out"), features(F.col(text)).alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in each_batch(batches):
             score = model.scores(*_flat(b.column(2))) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=[id_col, "held_out", "score"])
 

@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, each_batch
 
 #: Duplicate groups that may be broadcast: 48 bytes each.
 BROADCAST_GROUPS = 100_000
@@ -154,7 +154,7 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
-        for b in batches:
+        for b in each_batch(batches):
             for shard, page_id, url_, payload_, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
                 if now is None or now.shard != shard:
                     done += now.finish() if now else []
@@ -207,7 +207,7 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = ["page_id", "target_uri", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         fs, base = pafs.FileSystem.from_uri(root)
-        for b in batches:
+        for b in each_batch(batches):
             for name in b.column(0).to_pylist():
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     rows = []
