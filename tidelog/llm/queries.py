@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import chat, decontaminate, language_id, license_scan, mixing, quality_model, quality_rules, simhash, toxicity, warc
-from tidelog.llm.common import durable, fresh_path
+from tidelog.llm.common import durable, fresh_path, long_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return long_rows(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
