@@ -174,6 +174,30 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_reach_similar_shingle_sets(spark):
+    """All pairs at a Jaccard similarity of 0.8 over five-word shingles, none below, also in a crowd that shares its bands."""
+    rng = random.Random(14)
+    texts = []
+    for group in range(30):
+        words = prose(rng, 200).split()
+        for _ in range(60 if group == 0 else 4):
+            copy = list(words)
+            for at in rng.sample(range(200), rng.randrange(1, 4 if group == 0 else 8)):
+                copy[at] = f"changed{rng.random()}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert len(set(root)) <= len(texts) - 70
+    docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(root)
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     items = [(k, " ".join(prose(rng, n, [f"w{k}x{j}" for j in range(200)]).split())) for k, n in enumerate((15, 25, 57, 8, 3))]

@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, max_bits=2)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, max_bits=2, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
