@@ -252,6 +252,25 @@ def test_leaks_found_as_by_brute_force():
     assert met > 150 and missed <= 0.02 * met
 
 
+def test_stretches_are_found_as_by_brute_force():
+    rng = np.random.default_rng(15)
+    shapes = [np.repeat([True, False, True], sizes) for sizes in ((40, 37, 40), (13, 12, 13), (20, 1, 20))]
+    shapes += [np.arange(n) % 3 != 2 for n in (20, 21, 23, 24, 30, 40, 59)]
+    shapes += [rng.random(rng.integers(1, 45)) < rng.choice([0.0, 0.5, 0.7, 0.9, 1.0]) for _ in range(60)]
+    for same in shapes:
+        within = [(int(same[a:b].sum()), a - b, -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 10 * same[a:b].sum() >= 7 * (b - a)]
+        matched, size, start = max(within, default=(0, 0, 0))
+        assert decontaminate.best_stretch(same) == (-start, -start - size, matched)
+
+
+def test_long_overlaps_with_a_substituted_middle():
+    words = np.random.default_rng(16).integers(0, 2**64, 117, dtype=np.uint64)
+    for item, kept in ((words, np.repeat([True, False, True], (40, 37, 40))), (words[:38], np.repeat([True, False, True], (13, 12, 13))), (words[:59], np.arange(59) % 3 != 2)):
+        text = np.where(kept, item, item + np.uint64(1))
+        got = list(decontaminate.Block([(1, item)]).search(text, np.array([0, len(text)]), 13, 0.7, 0.7))
+        assert [g[1] for g in got] == [1] and got[0][2] >= 13
+
+
 def test_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", 10)
     offsets = np.array([0, 4, 8, 40, 41, 41, 50])

@@ -3,9 +3,9 @@
 A spaced seed is a mask over consecutive words; the words at its blanks are ignored, so a hash over
 the others still meets when ignored words were substituted. Every position of every text is
 hashed under each mask and matched with the benchmark's hashes. Around each hit the two texts are
-overlaid on the hit's diagonal, and the stretch through it with the best score (match 1,
-substitution -1) is kept where at least ``least_identity`` of its words match and the matches number
-``least_words`` or ``least_share`` of the item, whichever is less.
+overlaid on the hit's diagonal, and of all stretches of which at least ``least_identity`` of the words
+match the one with most matches is kept where these number ``least_words`` or ``least_share`` of the
+item, whichever is less.
 
 The benchmark is broken into blocks of about ``block_words`` words. Each block's seeds are sent to
 the executors, and the texts are passed over once a block, so no text is shuffled and what is sent
@@ -20,6 +20,7 @@ an empty benchmark or an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -40,13 +41,21 @@ def offsets_of(mask: str) -> tuple[int, ...]:
     return tuple(k for k, c in enumerate(mask) if c == "1")
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, stop and matches of the stretch of ``same`` that maximises matches - substitutions."""
-    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -1))))
-    low = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - low))
-    start = int(np.argmin(total[: stop + 1]))
-    return start, stop, int(same[start:stop].sum())
+def best_stretch(same: np.ndarray, least_identity: float = 0.7) -> tuple[int, int, int]:
+    """Start, stop and matches of the stretch with most matches of which ``least_identity`` matches; of equals the shortest, then the first."""
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0, 0
+    p, q = Fraction(least_identity).limit_denominator(10**6).as_integer_ratio()
+    # a stretch is within the limit if and only if these weights add up to zero or more
+    total = np.concatenate(([0], np.cumsum(np.where(same, q - p, -p))))
+    matches = np.concatenate(([0], np.cumsum(same)))
+    later = np.maximum.accumulate(total[::-1])[::-1]
+    stops = np.searchsorted(-later, -total[starts], "right") - 1
+    matched = matches[stops] - matches[starts]
+    stops = starts[matches[stops] - 1] + 1
+    k = np.lexsort((starts, stops - starts, -matched))[0]
+    return int(starts[k]), int(stops[k]), int(matched[k])
 
 
 class Block:
@@ -79,8 +88,8 @@ class Block:
             item_id, words = self.items[item]
             first, last = max(start, offsets[row]), min(start + len(words), offsets[row + 1])
             same = hashes[first:last] == words[first - start : last - start]
-            a, b, matched = best_stretch(same)
-            if matched >= min(least_words, least_share * len(words)) and matched >= least_identity * (b - a):
+            a, b, matched = best_stretch(same, least_identity)
+            if matched >= min(least_words, least_share * len(words)):
                 at = int(first - offsets[row])
                 best[row, item] = max(best.get((row, item), (0,)), (matched, -(b - a), -(at + a), at + b))
         for (row, item), (matched, size, a, b) in sorted(best.items()):
