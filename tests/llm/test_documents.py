@@ -271,6 +271,35 @@ def test_long_overlaps_with_a_substituted_middle():
         assert [g[1] for g in got] == [1] and got[0][2] >= 13
 
 
+def test_every_overlay_within_the_limits_has_a_hit():
+    """The most words that can match without a hit, by length, stay below the limits; also short items with substitutions."""
+    for masks, lengths in ((decontaminate.LIGHTEST, range(5, 15)), (decontaminate.LIGHT, range(15, 200))):
+        codes, most, by_length = [int(m, 2) for m in masks], {0: 0}, [0]
+        for _ in range(max(lengths)):
+            then = {}
+            for state, n in most.items():
+                for bit in (0, 1):
+                    seen = state << 1 | bit
+                    if all(seen & c != c for c in codes):
+                        then[seen & 255] = max(then.get(seen & 255, 0), n + bit)
+            most = then
+            by_length.append(max(most.values()))
+        for n in lengths:
+            assert not [k for k in range(1, n + 1) if by_length[k] >= min(13, 0.7 * n) and 10 * by_length[k] >= 7 * k]
+    rng = random.Random(17)
+    for n in [*range(5, 21)] * 12:
+        item = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        kept = np.ones(n, bool)
+        kept[rng.sample(range(n), n - max(-(-7 * n // 10), 1))] = False
+        text = np.concatenate((item[::-1], np.where(kept, item, item + np.uint64(1)), item[::-1]))
+        got = list(decontaminate.Block([(1, item)]).search(text, np.array([0, len(text)]), 13, 0.7, 0.7))
+        assert bool(got) == (decontaminate.best_stretch(kept)[2] >= min(13, 0.7 * n))
+    for n in range(1, 5):
+        item = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        got = list(decontaminate.Block([(1, item)], shortest=1).search(np.concatenate((item[:1], item)), np.array([0, n + 1]), 13, 0.7, 0.7))
+        assert [g[1] for g in got] == [1]
+
+
 def test_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", 10)
     offsets = np.array([0, 4, 8, 40, 41, 41, 50])

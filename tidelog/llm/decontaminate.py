@@ -11,8 +11,11 @@ The benchmark is broken into blocks of about ``block_words`` words. Each block's
 the executors, and the texts are passed over once a block, so no text is shuffled and what is sent
 never outgrows the block. Items with the same words are one item, named by the least id.
 
+Light masks, chosen by enumeration, see to it that at the default limits no overlay goes without a hit;
+overlays with too few matches in all are ruled out together before any is looked at.
+
 Defined results: null and blank texts match nothing; items of fewer than ``shortest`` words
-are not searched; items shorter than a mask are sought word for word; repeated rows are reported
+are not searched; items of fewer than VERBATIM words are sought word for word; repeated rows are reported
 each; rows with a null item id are left out, rows with a null document id are reported as such;
 an empty benchmark or an empty table gives no rows.
 """
@@ -30,10 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.common import each_batch
-from tidelog.llm.tokens import SeedTable, flat, pieces, seed_hashes, word_hashes
+from tidelog.llm.tokens import CHUNK, SeedTable, flat, pieces, seed_hashes, word_hashes
 
 #: Words that count (1) and words that are ignored (0).
 MASKS = ("11011011", "1101000110011", "110010100010111")
+#: With 7 of 10 words matching, any overlay within the limits has a hit of one of these: items of LONG words and more, and of VERBATIM to LONG.
+LIGHT, LIGHTEST = ("111011", "110100011", "1001111", "101100101", "1110101", "1110011"), ("111", "1011")
+LONG, VERBATIM = 15, 5
 OUT = (("item_id", T.LongType(), pa.int64()), ("matched", T.IntegerType(), pa.int32()), ("overlap", T.IntegerType(), pa.int32()), ("item_words", T.IntegerType(), pa.int32()), ("start_word", T.IntegerType(), pa.int32()), ("stop_word", T.IntegerType(), pa.int32()))
 
 
@@ -62,38 +68,64 @@ class Block:
     """A bounded part of the benchmark with its seed tables."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS, shortest: int = 5):
-        self.items = [(i, w) for i, w in items if len(w) >= shortest]
-        spans = {len(m): offsets_of(m) for m in masks}
-        short = {len(w) for _, w in self.items if len(w) < max(spans, default=0)}
-        wanted = [*spans.values(), *(tuple(range(n)) for n in sorted(short) if n < min(spans))]
+        items = [(i, w) for i, w in items if len(w) >= shortest]
+        self.ids, words = [i for i, _ in items], [w for _, w in items]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.words = np.concatenate([np.empty(0, np.uint64), *words])
+        whole = sorted({n for n in self.sizes.tolist() if n < VERBATIM})
+        wanted = [(offsets_of(m), self.sizes >= len(m)) for m in masks]
+        wanted += [(offsets_of(m), self.sizes >= LONG) for m in LIGHT]
+        wanted += [(offsets_of(m), (self.sizes >= VERBATIM) & (self.sizes < LONG)) for m in LIGHTEST]
+        wanted += [(tuple(range(n)), self.sizes == n) for n in whole]
         self.tables = []
-        for mask in wanted:
-            seeds = [seed_hashes(w, mask) for _, w in self.items]
-            n = [len(s) for s in seeds]
+        for mask, among in wanted:
+            chosen = np.flatnonzero(among)
+            seeds = [seed_hashes(words[k], mask) for k in chosen]
+            n = [len(x) for x in seeds]
             if sum(n):
-                self.tables.append((mask, SeedTable(np.concatenate(seeds), np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n]))))
+                self.tables.append((mask, SeedTable(np.concatenate(seeds), np.repeat(chosen, n), np.concatenate([np.arange(k) for k in n]))))
 
-    def search(self, hashes: np.ndarray, offsets: np.ndarray, least_words: int, least_share: float, least_identity: float) -> Iterator[tuple]:
-        """(row, item id, matched, overlap, item words, start, stop): the best stretch for each row and item."""
-        found = []
+    def _overlays(self, hashes: np.ndarray, offsets: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, start) of each overlay with a hit in which at least ``least`` of the item's words match."""
+        found = [np.empty(0, np.int64)]
+        longest = int(self.sizes.max(initial=0))
+        width, n = len(hashes) + longest + 1, len(self.sizes)
         for mask, table in self.tables:
             where, item, at = table.hits(seed_hashes(hashes, mask))
             row = np.searchsorted(offsets, where, "right") - 1
             inside = where + mask[-1] < offsets[row + 1]  # a seed may not reach into the next text
-            found.append(np.stack((row, item, where - at))[:, inside])
-        if not found:
-            return
+            found.append(np.unique(((row * n + item) * width + where - at + longest)[inside]))
+        keys = np.unique(np.concatenate(found))
+        pairs, start = keys // width, keys % width - longest
+        row, item = pairs // max(n, 1), pairs % max(n, 1)
+        first, last = np.maximum(start, offsets[row]), np.minimum(start + self.sizes[item], offsets[row + 1])
+        done = np.concatenate(([0], np.cumsum(last - first)))
+        k = 0
+        while k < len(keys):
+            to = max(k + 1, int(np.searchsorted(done, done[k] + CHUNK, "right")) - 1)
+            step = np.arange(done[to] - done[k]) - np.repeat(done[k:to] - done[k], last[k:to] - first[k:to])
+            here = np.repeat(first[k:to], last[k:to] - first[k:to]) + step
+            there = np.repeat(self.at[item[k:to]] + first[k:to] - start[k:to], last[k:to] - first[k:to]) + step
+            matches = np.add.reduceat(hashes[here] == self.words[there], done[k:to] - done[k], dtype=np.int64)
+            for x in np.flatnonzero(matches >= least[item[k:to]]) + k:
+                yield int(row[x]), int(item[x]), int(start[x])
+            k = to
+
+    def search(self, hashes: np.ndarray, offsets: np.ndarray, least_words: int, least_share: float, least_identity: float) -> Iterator[tuple]:
+        """(row, item id, matched, overlap, item words, start, stop): the best stretch for each row and item."""
+        least = np.minimum(least_words, least_share * self.sizes)
         best: dict[tuple[int, int], tuple] = {}
-        for row, item, start in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-            item_id, words = self.items[item]
+        for row, item, start in self._overlays(hashes, offsets, least):
+            words = self.words[self.at[item] : self.at[item + 1]]
             first, last = max(start, offsets[row]), min(start + len(words), offsets[row + 1])
             same = hashes[first:last] == words[first - start : last - start]
             a, b, matched = best_stretch(same, least_identity)
-            if matched >= min(least_words, least_share * len(words)):
+            if matched >= least[item]:
                 at = int(first - offsets[row])
                 best[row, item] = max(best.get((row, item), (0,)), (matched, -(b - a), -(at + a), at + b))
         for (row, item), (matched, size, a, b) in sorted(best.items()):
-            yield row, self.items[item][0], matched, -size, len(self.items[item][1]), -a, b
+            yield row, self.ids[item], matched, -size, int(self.sizes[item]), -a, b
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text: str, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:

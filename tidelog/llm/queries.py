@@ -69,7 +69,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap benchmark items, with the overlapping words."""
-    return decontaminate.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
