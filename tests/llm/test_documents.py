@@ -300,6 +300,16 @@ def test_every_overlay_within_the_limits_has_a_hit():
         assert [g[1] for g in got] == [1]
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(18)
+    words = [f"w{k}" for k in range(200)]
+    first, second = prose(rng, 20, words), prose(rng, 20, words)
+    bench = spark.createDataFrame([(None, first), (None, first), (3, second)], "item_id long, text string")
+    docs = frame(spark, [(1, first, "en", "a"), (2, second, "en", "a"), (3, prose(rng, 50, ["other"]), "en", "a")])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(docs, bench).collect()} == {(1, None), (2, 3)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", 10)
     offsets = np.array([0, 4, 8, 40, 41, 41, 50])

@@ -16,7 +16,7 @@ overlays with too few matches in all are ruled out together before any is looked
 
 Defined results: null and blank texts match nothing; items of fewer than ``shortest`` words
 are not searched; items of fewer than VERBATIM words are sought word for word; repeated rows are reported
-each; rows with a null item id are left out, rows with a null document id are reported as such;
+each; null item ids and null document ids are reported as such, and a document that matches an item without an id goes;
 an empty benchmark or an empty table gives no rows.
 """
 
@@ -130,12 +130,12 @@ class Block:
 
 def _blocks(benchmark: DataFrame, item_col: str, text: str, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The distinct items, block by block; each brought to the driver alone."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(text)).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(text)).alias("words"))
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     n = -(-total // block_words)
     for k in range(n):
         got = items.where(F.pmod(F.hash("words"), F.lit(n)) == k).groupBy("words").agg(F.min("item_id").alias("item_id")).toArrow()
-        yield sorted(((i.as_py(), np.array(w.as_py(), np.int64).view(np.uint64)) for w, i in zip(got.column(0), got.column(1), strict=True)), key=lambda x: x[0])
+        yield sorted(((i.as_py(), np.array(w.as_py(), np.int64).view(np.uint64)) for w, i in zip(got.column(0), got.column(1), strict=True)), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
