@@ -46,6 +46,19 @@ def test_only_new_complete_lines(tmp_path, path):
     assert after[str(path)]["hdr"] == HEADER.strip()
 
 
+@pytest.mark.parametrize("before", [HEADER + "old\n#Fields: date cs-uri-stem\nold\n", "\n#Fields: date cs-uri-stem\n", "old\n" * 30_000 + "#Fields: date cs-uri-stem\n"])
+def test_the_last_header_before_the_end_holds(tmp_path, path, before):
+    path.write_text(before)
+    reader = TailReader({"path": str(tmp_path)})
+    state = reader.initialOffset()
+    append(path, "one\n")
+    rows, after = reader.read(state)
+    assert [r[3:] for r in rows] == [("#Fields: date cs-uri-stem", "one")]
+    assert [r[3:] for r in reader.readBetweenOffsets(state, after)] == [("#Fields: date cs-uri-stem", "one")]
+    append(path, "two\n")
+    assert [r[3:] for r in reader.read(after)[0]] == [("#Fields: date cs-uri-stem", "two")]
+
+
 def test_truncation_attaches_anew(tmp_path, path):
     reader = TailReader({"path": str(tmp_path)})
     state = reader.initialOffset()

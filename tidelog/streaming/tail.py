@@ -4,7 +4,7 @@ The streaming source ``w3c_tail`` polls the files of a source. Its offset holds,
 byte and line up to which complete lines were emitted and the header in effect there, so
 Spark's checkpoint makes a restarted stream go on where it stopped. A batch is re-read from its two
 offsets alone. A file seen for the first time is attached at its checkpoint in the store, or else at its
-end: nothing old is emitted. A file that shrank is attached anew; one that vanished is forgotten.
+end: nothing old is emitted, and the last header before it is sought when the first complete line arrives. A file that shrank is attached anew; one that vanished is forgotten.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tidelog.plans.predicate import to_predicate
 from tidelog.plans.request import SearchRequest
 from tidelog.settings import CLIENT_IP_PRIORITY
 from tidelog.sources.files import LogSource
-from tidelog.sources.ranges import decode, is_header, lines_from, open_at
+from tidelog.sources.ranges import decode, is_header, last_header, lines_from, open_at
 from tidelog.sources.w3c import parse_ranged
 
 TAIL_SCHEMA = "source_path string, line_number long, is_complete_line boolean, header string, text string"
@@ -45,17 +45,6 @@ def tail_offset(path: str) -> tuple[int, int]:
     return 0, seen
 
 
-def header_of(path: str, stop: int) -> str | None:
-    """The first lines' header: what holds at the end unless it changed in between."""
-    for start, _, _, line in lines_from(path, 0, min(stop, CHUNK)):
-        text = decode(line)
-        if start >= stop or not text.startswith("#"):
-            return None
-        if is_header(text):
-            return text
-    return None
-
-
 class TailReader(SimpleDataSourceStreamReader):
     """One poll is one batch; ``read`` and ``readBetweenOffsets`` yield only complete lines."""
 
@@ -90,7 +79,7 @@ class TailReader(SimpleDataSourceStreamReader):
             return saved
         try:
             # lines are numbered from the attachment on: counting all earlier ones would read the whole file
-            return {"off": tail_offset(path)[0], "line": 0, "hdr": header_of(path, size)}
+            return {"off": tail_offset(path)[0], "line": 0, "hdr": None}
         except OSError:
             return None
 
@@ -113,17 +102,19 @@ class TailReader(SimpleDataSourceStreamReader):
             try:
                 for row, at in self._lines(path, state, size):
                     rows.append(row)
-                    new = {"off": at, "line": row[1], "hdr": row[3]}
+                    new = {"off": at, "line": row[1], "hdr": row[3], "sought": True}
             except OSError:
                 pass
             end[path] = new
         return iter(rows), end
 
     def _lines(self, path: str, state: dict, stop: int) -> Iterator[tuple[tuple, int]]:
-        header, n = state["hdr"], state["line"]
+        header, n, sought = state["hdr"], state["line"], state.get("sought", state["hdr"] is not None)
         for _, after, complete, line in lines_from(path, state["off"], stop):
             if not complete:
                 return
+            if not sought:
+                header, sought = last_header(path, state["off"])[0], True
             n += 1
             text = decode(line)
             header = text if is_header(text) else header
