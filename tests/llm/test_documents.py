@@ -335,6 +335,18 @@ def test_licenses(spark, odd):
         license_scan.scan_licenses(docs, {"x": "two words"})
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-NC-4.0", "Apache-2.0"])
+@pytest.mark.parametrize("copies", [2, 6])
+def test_notices_on_consecutive_lines(name, copies):
+    words = [w.lower() for w in license_scan.WORD.findall(license_scan.TEMPLATES[name])]
+    hashed = lambda ws: np.array([xxhash.xxh64_intdigest(w, seed=42) for w in ws], np.uint64)
+    scanner = license_scan.Scanner([name], [hashed(words)], 0.8)
+    text = hashed(["before", *words * copies, "after"])
+    (found,) = scanner.scan(text, np.array([0, len(text)]))[0]
+    n = len(words)
+    assert found == (0, 1.0, [(n, 1 + k * n, 1 + (k + 1) * n) for k in range(copies)])
+
+
 def test_banded_alignment_equals_a_full_one():
     """Within the band, the best local alignment's score by the full table."""
     rng = random.Random(3)

@@ -110,11 +110,22 @@ class Scanner:
             n = len(self.words[t])
             low, high = max(diagonal - BAND, 0), min(diagonal + n + 2 * BAND, int(offsets[r + 1] - offsets[r]))
             region = tuple(hashes[offsets[r] + low : offsets[r] + high].tolist())
-            matched, start, stop = self._aligned(t, region, diagonal - low + BAND // 2)
-            if matched >= self.least * n:
+            for matched, start, stop in self._all_aligned(t, region, diagonal - low + BAND // 2):
                 found.setdefault(r, {}).setdefault(t, []).append((matched, low + start, low + stop))
         return {r: [(t, max(s)[0] / len(self.words[t]), _apart(s)) for t, s in sorted(by.items())] for r, by in found.items()}
 
+    def _all_aligned(self, t: int, region: tuple[int, ...], shift: int) -> Iterator[tuple[int, int, int]]:
+        """The best alignment, and those on both sides of it, as long as they reach the coverage."""
+        least, todo = self.least * len(self.words[t]), [(0, len(region))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < least:
+                continue
+            matched, start, stop = self._aligned(t, region[low:high], shift - low)
+            if matched and matched >= least:
+                yield matched, low + start, low + stop
+                todo += [(low, low + start), (low + stop, high)]
+
     def _aligned(self, t: int, region: tuple[int, ...], shift: int) -> tuple[int, int, int]:
         """The same notice stands in many texts: a bounded number of alignments is remembered."""
         key = (t, region, shift)
