@@ -192,8 +192,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     return hashed.mapInArrow(_to_sets(words), schema)
 
 
-def similar(nodes: DataFrame, sets: DataFrame, similarity: float, bucket: int = 16) -> DataFrame:
-    """``(src, dst)`` pairs of ``nodes(node, n, keys)`` that share a key and whose ``sets(node, shingles)`` have the similarity.
+def similar(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, bucket: int = 16) -> DataFrame:
+    """``(src, dst)`` pairs of ``nodes(node, n, keys)`` that share a key and whose shingles, by ``sets_of``, have the similarity.
 
     In a key that more than ``bucket`` nodes share, each is compared with LEADERS of them only.
     """
@@ -211,20 +211,25 @@ def similar(nodes: DataFrame, sets: DataFrame, similarity: float, bucket: int =
     near = pairs.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m"))
     asked = durable(near.select(F.least("node", "b").alias("src"), F.greatest("node", "b").alias("dst")).distinct(), "asked")
     wanted = asked.select(F.col("src").alias("node")).unionByName(asked.select(F.col("dst").alias("node"))).distinct()
-    known = durable(sets.join(wanted, "node", "left_semi"), "sets")
+    known = durable(sets_of(wanted), "sets")
     both = asked.join(known.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(known.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("src", "dst")
 
 
 def _near_sets(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
-    marked = durable(shingle_sets(docs, id_col, text, words), "fingerprints")
+    marked = durable(shingle_sets(docs, id_col, text, words).withColumn("n", F.size("shingles")), "fingerprints")
     nodes = durable(marked.groupBy("node").agg(F.min(id_col).alias("least")), "nodes")
     # of rows with equal sets the one with the least id stands for them; repeated ids and ids that are all null leave several
-    same = marked["node"].eqNullSafe(nodes["node"]) & marked[id_col].eqNullSafe(nodes["least"])
-    one = durable(marked.join(nodes, same, "left_semi").select("node", "fp", "bands", "shingles").dropDuplicates(["node"]), "one")
-    keyed = one.select("node", F.size("shingles").alias("n"), F.concat("bands", F.array("fp")).alias("keys"))
-    roots = components(similar(keyed, one.select("node", "shingles"), similarity))
+    slim = marked.select(id_col, "node", "n", F.concat("bands", F.array("fp")).alias("keys"))
+    keyed = durable(slim.join(nodes, slim["node"].eqNullSafe(nodes["node"]) & slim[id_col].eqNullSafe(nodes["least"]), "left_semi").select("node", "n", "keys").dropDuplicates(["node"]), "one")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        few = durable(nodes.join(wanted, "node").select("node", "least"), "wanted")
+        same = marked["node"].eqNullSafe(few["node"]) & marked[id_col].eqNullSafe(few["least"])
+        return marked.join(few, same, "left_semi").select("node", "shingles").dropDuplicates(["node"])
+
+    roots = components(similar(keyed, sets_of, similarity))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select(id_col, "fp", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select(id_col, "fp", "component_id")
