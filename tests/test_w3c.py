@@ -122,3 +122,11 @@ def test_sample_facts(spark, tmp_path):
     lines = sample_lines(spark, 1000)
     assert lines.where("line LIKE '%/api/order%'").count() == 100
     assert lines.where("line LIKE '% 404 0 0 %'").count() == 10
+
+
+def test_recursive_reads_names_of_any_case(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name in ("a.log", "s/B.LOG", "s/c.Log", "d.txt"):
+        (tmp_path / name).write_text("#Fields: date cs-uri-stem\n2024-01-01 /x\n")
+    found = read_w3c(spark, str(tmp_path), recursive=True).select("source_path").collect()
+    assert sorted(r[0].rsplit("/", 1)[1] for r in found) == ["B.LOG", "a.log", "c.Log"]

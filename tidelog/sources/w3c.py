@@ -155,7 +155,7 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool =
     """
     reader = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", "true")
     if recursive:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][oO][gG]")
     rows = reader.text([paths] if isinstance(paths, str) else list(paths))
     value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), fallback))
     rows = rows.select(
