@@ -1,10 +1,11 @@
 """Scanning logs: headers, line numbers, values, addresses, blocks and incomplete lines."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.sources.ranges import lines_from
 from tidelog.sources.samples import DIRECTIVES, sample_lines
-from tidelog.sources.w3c import read_ranges, read_w3c, read_w3c_with_totals
+from tidelog.sources.w3c import number_lines, parse_lines, read_ranges, read_text, read_w3c, read_w3c_with_totals, scan_blocks
 
 HEADER = "#Fields: date time s-ip cs-method cs-uri-stem sc-status"
 
@@ -102,6 +103,37 @@ def test_a_file_of_many_blocks(spark, tmp_path):
     assert ends == {"big.log": (3006, True), "small.log": (2, True)}
 
 
+def test_splits_may_change_between_reading_and_acting(spark, tmp_path):
+    """What Spark would plan now does not matter to a scan made before, be it settings or cores."""
+    body = [r["line"] for r in sample_lines(spark, 6000).orderBy("i").collect()]
+    text = "\n".join([*DIRECTIVES, *body[:3000], "#Fields: cs-uri-stem sc-status", *(f"/late/{k} 200" for k in range(3000))]) + "\n"
+    for k in range(3):
+        log(tmp_path, text, f"{k}.log")
+    want = [(n, line.split(" ")[4]) for n, line in enumerate(body[:3000], 5)] + [(3006 + k, f"/late/{k}") for k in range(3000)]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "60000")
+        entries = read_w3c(spark, str(tmp_path))
+        assert entries.sparkSession is spark
+        for name, value in (names[0], "9000"), (names[0], "128m"), (names[1], "64"), (names[2], "1k"):
+            spark.conf.set(name, value)
+            got = [(r[0], r[1], r[2]) for r in entries.select("source_path", "line_number", "uri_stem").collect()]
+            assert sorted(got) == sorted((p, n, u) for p in {g[0] for g in got} for n, u in want) and len(got) == 3 * len(want)
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_blocks_that_do_not_match_are_an_error(spark, tmp_path):
+    path = log(tmp_path, "\n".join([HEADER, *("2024-01-01 00:00:01 1.1.1.1 GET /a 200" for _ in range(3000))]) + "\n")
+    lines = read_text(spark, path)
+    blocks = scan_blocks(spark, lines)
+    for wrong in (blocks.withColumn("block", F.col("block") + 1), blocks.withColumn("n", F.col("n") - 1)):
+        with pytest.raises(Exception, match="changed while it was read"):
+            parse_lines(number_lines(lines, wrong, ("c-ip",), False)).select("uri_stem").collect()
+
+
 def test_ranges_go_on_where_told(spark, tmp_path):
     first = HEADER + "\n2024-01-01 00:00:01 1.1.1.1 GET /a 200\n"
     path = log(tmp_path, first + "2024-01-01 00:00:02 1.1.1.1 GET /b 200\n2024-01-01 00:00:03 1.1.1.1 GET /c 200")

@@ -6,6 +6,10 @@ block, the number of lines before it and the headers that may be in effect in it
 joins it to the lines by file and block, so that a file of any size is read by as many tasks as
 it has blocks, and no line is shuffled while the table may be broadcast: some 150 bytes a block, up to
 BROADCAST_BLOCKS of them (a hundred terabytes in blocks of 128 MB). Beyond that the join shuffles.
+
+Both passes must cut the files into the same blocks. Spark cuts them by its session's settings and the cores it
+has when a job starts, so the scan lives in a session of its own, whose split size is fixed when the scan is
+made. Lines that nevertheless meet no block of the first pass raise an error.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import client_ip, text
 from tidelog.schema import ENTRY, ENTRY_COLUMNS
+from tidelog.session import pin_splits, private
 from tidelog.settings import CLIENT_IP_PRIORITY
 from tidelog.sources.ranges import RangeSource
 from tidelog.storage import durable
@@ -153,10 +158,11 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool =
 
     Lines that are not UTF-8 are decoded as ``fallback``.
     """
-    reader = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", "true")
+    reader = private(spark).read.option("lineSep", "\n").option("ignoreMissingFiles", "true")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][oO][gG]")
     rows = reader.text([paths] if isinstance(paths, str) else list(paths))
+    pin_splits(rows)
     value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), fallback))
     rows = rows.select(
         F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///").alias("source_path"),
@@ -169,7 +175,7 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], recursive: bool =
     return rows
 
 
-def scan_blocks(lines: DataFrame) -> DataFrame:
+def scan_blocks(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """One row a file block: lines before it, the file's totals and the hashes of the headers that may hold in it."""
     header = F.lower(F.substring("text", 1, 8)) == "#fields:"
     found = lines.select("source_path", "block", "file_size", "seq", "size", F.when(header, F.col("text")).alias("header"))
@@ -177,7 +183,7 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
     blocks = found.groupBy("source_path", "block").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.sum("size").alias("bytes"), F.max("file_size").alias("file_size"), F.max_by("size", "seq").alias("last_size"), headers.alias("headers")
     )
-    blocks = durable(blocks, "blocks")
+    blocks = durable(blocks, "blocks", spark)
     w = Window.partitionBy("source_path").orderBy("block")
     before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bytes_read = F.sum("bytes").over(whole)
@@ -186,6 +192,7 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
         "source_path",
         "block",
         "first_seq",
+        "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
         F.sum("n").over(whole).alias("file_lines"),
         # the reader skips a byte order mark, which leaves the bytes read three short of the file
@@ -198,15 +205,20 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
 
 
 def number_lines(lines: DataFrame, blocks: DataFrame, ip_priority: Sequence[str], include_additional: bool) -> DataFrame:
-    """Lines with their physical number, completeness and the layout in effect (null before any header)."""
+    """Lines with their physical number, completeness and the layout in effect (null before any header).
+
+    The result belongs to the session of ``blocks``. Blocks other than those that were counted are an error.
+    """
     texts = durable(blocks.select(F.explode("headers.header").alias("header")).distinct(), "headers")
     layouts = texts.select(F.xxhash64("header").alias("held"), layout(F.col("header"), ip_priority, include_additional).alias("layout"))
     layouts = F.broadcast(layouts) if texts.count() <= BROADCAST_HEADERS else layouts
     known = F.transform("headers", lambda h: F.struct(h["seq"].alias("seq"), F.xxhash64(h["header"]).alias("held")))
-    small = blocks.select("source_path", "block", "first_seq", "before", "file_lines", "ends_with_lf", known.alias("known"))
+    small = blocks.select("source_path", "block", "first_seq", "n", "before", "file_lines", "ends_with_lf", known.alias("known"))
     small = F.broadcast(small) if blocks.count() <= BROADCAST_BLOCKS else small
-    joined = lines.select("source_path", "block", "seq", "text").join(small, ["source_path", "block"])
-    number = F.col("before") + (F.col("seq") - F.col("first_seq")) + 1
+    joined = small.join(lines.select("source_path", "block", "seq", "text"), ["source_path", "block"], "right")
+    place = F.col("seq") - F.col("first_seq")
+    joined = joined.where(F.when((place >= 0) & (place < F.col("n")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("the blocks of "), "source_path", F.lit(" changed while it was read"))).cast("boolean")))
+    number = F.col("before") + place + 1
     only = F.get("known", F.lit(0))
     one = F.when(only["seq"] < F.col("seq"), only["held"])
     now = F.when(F.size("known") == 1, one).otherwise(F.try_element_at(F.filter("known", lambda h: h["seq"] < F.col("seq")), F.lit(-1))["held"])
@@ -235,7 +247,7 @@ def read_w3c_with_totals(spark: SparkSession, paths: str | Sequence[str], *, rec
         empty = spark.createDataFrame([], ENTRY)
         return empty, spark.createDataFrame([], "source_path string, file_size long, file_lines long, ends_with_lf boolean, last_size long, last_header string")
     lines = read_text(spark, paths, recursive, fallback)
-    blocks = durable(scan_blocks(lines), "layouts")
+    blocks = durable(scan_blocks(spark, lines), "layouts")
     entries = parse_lines(number_lines(lines, blocks, ip_priority, include_additional))
     totals = blocks.select("source_path", "file_size", "file_lines", "ends_with_lf", "last_size", "last_header").distinct()
     return entries if include_incomplete else entries.where("is_complete_line"), totals

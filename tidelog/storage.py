@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,10 +15,17 @@ _scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or a local one of our own where none is configured (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is configured a session of one machine (master ``local``) gets a folder of our own; on a cluster, whose
+    executors would each write to their own disks, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return _fallback[0]
@@ -29,12 +37,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{parent}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back.
+def durable(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return the table read back, by ``spark`` if given.
 
     Lineage ends here, and Catalyst knows the table's size when it picks a join.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
