@@ -11,11 +11,11 @@ from tidelog.settings import EngineSettings
 from tidelog.sources.files import LogSource, list_log_files
 from tidelog.sources.sites import discover_sites, site_sources
 from tidelog.sources.w3c import read_ranges, read_w3c
-from tidelog.streaming.tail import live_trend, tail
+from tidelog.streaming.tail import follow, live_trend, tail
 
 __all__ = [
     "DEFAULT_RULES", "EngineSettings", "LogSource", "LogStore", "SearchRequest", "SecurityRule",
     "analyze_errors", "analyze_ip", "analyze_security", "analyze_slow", "analyze_traffic", "day_range", "detect_intent", "discover_sites",
-    "export_csv", "export_json", "list_log_files", "live_trend", "load_rules", "match_rules", "matching", "page", "quick_range",
+    "export_csv", "export_json", "follow", "list_log_files", "live_trend", "load_rules", "match_rules", "matching", "page", "quick_range",
     "read_ranges", "read_w3c", "search", "site_sources", "statistics", "tail", "to_predicate", "write_csv", "write_json",
 ]

@@ -178,9 +178,10 @@ class LogStore:
         """The source's files, last written first, with their ``state``."""
         return self.files().where(F.col("source_id") == source.source_id).withColumn("state", index_state()).orderBy(F.desc("last_write_utc"), "full_path")
 
-    def _states(self) -> dict[int, FileState]:
+    def _states(self, source: LogSource | None = None) -> dict[int, FileState]:
         stamp = lambda t: t.replace(tzinfo=UTC) if t is not None and t.tzinfo is None else t
-        rows = (FileState(**r.asDict()) for r in self.files().collect())
+        files = self.files() if source is None else self.files().where(F.col("source_id") == source.source_id)
+        rows = (FileState(**r.asDict()) for r in files.collect())
         return {s.file_id: replace(s, last_write_utc=stamp(s.last_write_utc), last_indexed_at=stamp(s.last_indexed_at)) for s in rows}
 
     def _save_states(self, states: dict[int, FileState]) -> None:

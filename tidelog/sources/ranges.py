@@ -15,14 +15,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_SCHEMA = "source_path string, line_number long, start_offset long, end_offset long, is_complete_line boolean, header string, text string"
 CHUNK = 1 << 20
+_HEADER_LINE = re.compile(rb"^(?:\xef\xbb\xbf)*#fields:[^\n]*", re.IGNORECASE | re.MULTILINE)
 
 
-def open_at(path: str, offset: int):
-    """A binary stream of the file from ``offset`` on; any file system that Arrow knows."""
+def place_of(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system, the path in it and what stands before that path in a URI: nothing for local files.
+
+    Any file system that Arrow knows; others are an error.
+    """
     if path.startswith("file:") or "://" not in path:
-        fs, where = pafs.LocalFileSystem(), re.sub("^file:/+", "/", path)
-    else:
-        fs, where = pafs.FileSystem.from_uri(path)
+        return pafs.LocalFileSystem(), re.sub("^file:/+", "/", path), ""
+    fs, where = pafs.FileSystem.from_uri(path)
+    return fs, where, path.removesuffix("/").removesuffix(where.removesuffix("/"))
+
+
+def open_at(path: str, offset: int):
+    """A binary stream of the file from ``offset`` on."""
+    fs, where, _ = place_of(path)
     stream = fs.open_input_file(where)
     stream.seek(min(offset, stream.size()))
     return stream
@@ -73,6 +82,27 @@ def last_header(path: str, offset: int) -> tuple[str | None, int]:
     return header, n
 
 
+def headers_in(block: bytes) -> list[bytes]:
+    """The header lines of a run of whole lines, without line ends."""
+    return [m[0].removesuffix(b"\r") for m in _HEADER_LINE.finditer(block)]
+
+
+def header_before(path: str, offset: int) -> str | None:
+    """The last header before ``offset``, sought backwards, so that no more is read than has to be."""
+    with open_at(path, 0) as stream:
+        end, first = min(offset, stream.size()), b""
+        while end > 0:
+            start = max(0, end - CHUNK)
+            stream.seek(start)
+            block = stream.read(end - start) + first
+            whole = block.find(b"\n") + 1 if start else 0  # the line at the block's start may have begun before it
+            found = headers_in(block[whole:]) if whole or not start else []
+            if found:
+                return decode(found[-1])
+            first, end = block[:whole] if whole else block, start
+    return None
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, offset: int, line: int, header: str | None, stop: int | None):
         self.path, self.offset, self.line, self.header, self.stop = path, offset, line, header, stop
