@@ -5,7 +5,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from tidelog.operators.store import FileState, LogStore, is_usable, requires_reset
+from tidelog.operators.store import FileState, IndexProgress, LogStore, in_batches, is_usable, requires_reset
 from tidelog.plans.predicate import to_predicate
 from tidelog.plans.request import SearchRequest
 from tidelog.sources.files import LogFile, LogSource, detect_encoding, index_order, list_log_files, prefix_digest
@@ -53,14 +53,68 @@ def test_increments(place):
 def test_reindexing_after_a_crash_leaves_no_copies(spark, place):
     folder, store, source = place
     store.index(source)
-    states = store._states()
+    states = store._states(source)
     append(folder, LINE.format(1, 1))
     store.index(source)
-    store._save_states(states)  # as if the run had died before the catalogue was written
+    store._add_states(list(states.values()))  # as if the run had died before the catalogue was written
+    found = store.search(SearchRequest(source=source, keyword="/new")).collect()
+    assert [(r["line_number"], r["is_indexed"]) for r in found] == [(65, False)]
     assert store.index(source).rows == 0
     assert store.entries().count() == 61 and catalogue(store) == [(65, True)]
 
 
+def test_a_run_that_dies_goes_on_after_its_last_batch(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for k in range(5):
+        write_sample(spark, str(folder / f"u_ex26082{k}.log"), 10 * (k + 1))
+    store = LogStore(spark, str(tmp_path / "store"), batch_files=2)
+    source, seen, read = store.save_source(LogSource(str(folder))), [], []
+
+    def dies(p):
+        seen.append(p)
+        if p.files_done == 2:
+            raise RuntimeError("gone")
+
+    with pytest.raises(RuntimeError):
+        store.index(source, on_progress=dies)
+    assert [p.files_done for p in seen] == [0, 2] and 0 < seen[1].percent < 100
+    assert store.entries().count() == 50 + 40 == seen[1].rows  # the newest files come first
+    fresh, seen = store._index_fresh, []
+    store._index_fresh = lambda source, files, *more: (read.extend(f.name for f, _ in files), fresh(source, files, *more))[1]
+    run = store.index(source, on_progress=seen.append)
+    assert (run.indexed, run.rows) == (3, 60) and read == ["u_ex260822.log", "u_ex260821.log", "u_ex260820.log"]
+    assert [p.files_done for p in seen] == [2, 4, 5] and seen[-1].percent == 100 and seen[-1].bytes_done == seen[-1].bytes_total
+    assert store.entries().count() == 150 and store.files().count() == 5 and len(store._current("files")) == 1
+
+
+def test_rows_of_a_dead_batch_do_not_stay(spark, place):
+    """A file whose rows were stored but not its checkpoint, and that has no rows any more."""
+    folder, store, source = place
+    store.index(source)
+    store.reset_file(store.find_file(source, "file://" + str(folder / "u_ex260828.log")))
+    fresh = store._index_fresh
+
+    def dies(*args):
+        fresh(*args)
+        raise RuntimeError("gone")
+
+    store._index_fresh = dies
+    with pytest.raises(RuntimeError):
+        store.index(source)
+    assert store.entries().count() == 60 and catalogue(store) == [(0, False)]
+    store._index_fresh = fresh
+    (folder / "u_ex260828.log").write_text("no header\n")
+    assert store.index(source).rows == 0 and store.entries().count() == 0
+
+
+def test_batches():
+    t = datetime(2024, 1, 1, tzinfo=UTC)
+    files = [(LogFile(f"/{k}", size, t), FileState(k, 1, "", "")) for k, size in enumerate([5, 5, 100, 1, 1, 1])]
+    assert [[f.size for f, _ in b] for b in in_batches(files, 2, 10)] == [[5, 5], [100], [1, 1], [1]]
+    assert list(in_batches([], 2, 10)) == [] and IndexProgress(0, 0, 0, 0, 0).percent == 100
+
+
 def test_truncation_resets(place):
     folder, store, source = place
     store.index(source)

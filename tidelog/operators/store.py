@@ -1,10 +1,13 @@
 """The indexed store: parsed entries in Parquet, a small catalogue of files, incremental indexing.
 
 Entries lie in ``entries/source_id=S/file_id=F`` so that a file's rows are replaced or dropped
-without touching others, and a search reads only its source. The catalogue is written whole as a new version,
-and a pointer file is renamed over the old one: readers see one version or the next. Rows are
-written before the catalogue, and appended rows that are already there are left out, so an
-indexing run that dies and is repeated leaves each line once.
+without touching others, and a search reads only its source. A catalogue table is written whole as a new version, or
+what changed is written beside it, and a pointer file that names the parts is renamed over the old one: readers see
+one state or the next.
+
+Files are indexed batch by batch. A batch's file ids are in the catalogue before its rows are written, and its checkpoints after; appended
+rows that are already there are left out. So an indexing run that dies and is repeated goes on after the last whole
+batch and leaves each line once. The driver holds the catalogue rows of one source, about a kilobyte a file.
 
 New and reset files are scanned in bulk by Spark's reader; files that grew are read from their
 checkpoint's byte offset on.
@@ -15,25 +18,28 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.search import matching, result_order, union_distinct
+from tidelog.operators.search import matching, result_order
 from tidelog.plans.request import SearchRequest
 from tidelog.schema import LOG_FILES, SOURCES, STORED
-from tidelog.settings import CLIENT_IP_PRIORITY
+from tidelog.settings import CLIENT_IP_PRIORITY, EngineSettings
 from tidelog.sources.files import PREFIX, LogFile, LogSource, index_order, list_log_files, prefix_digests
 from tidelog.sources.ranges import RangeSource
 from tidelog.sources.w3c import parse_ranged, read_ranges, read_w3c, read_w3c_with_totals
 from tidelog.storage import durable, filesystem
 
 ID_BITS = 40
-#: File ids that a filter may list.
-LISTED = 10_000
+#: File ids that a filter may list, and checkpoints that may be broadcast: 16 bytes each.
+LISTED, BROADCAST_FILES = 10_000, 1_000_000
+#: Bytes of a batch of files: enough to keep a large cluster busy, little enough to lose.
+BATCH_BYTES = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -99,11 +105,41 @@ class IndexRun:
     cancelled: bool = False
 
 
+@dataclass(frozen=True)
+class IndexProgress:
+    """How far an indexing run has come: files and bytes that need nothing more, and rows written."""
+
+    files_done: int
+    files: int
+    bytes_done: int
+    bytes_total: int
+    rows: int
+
+    @property
+    def percent(self) -> float:
+        return min(100.0, 100 * self.bytes_done / self.bytes_total) if self.bytes_total else 100.0
+
+
+def in_batches(files: list[tuple[LogFile, FileState]], most_files: int, most_bytes: int) -> Iterator[list[tuple[LogFile, FileState]]]:
+    """Runs of files in their order, each of at most ``most_files`` and, unless one file has more, ``most_bytes``."""
+    batch, size = [], 0
+    for f, s in files:
+        more = max(f.size - s.indexed_length, 0)
+        if batch and (len(batch) == most_files or size + more > most_bytes):
+            yield batch
+            batch, size = [], 0
+        batch.append((f, s))
+        size += more
+    if batch:
+        yield batch
+
+
 class LogStore:
     """Entries and catalogue below ``root``, any folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY):
+    def __init__(self, spark: SparkSession, root: str, ip_priority: Sequence[str] = CLIENT_IP_PRIORITY, batch_files: int = EngineSettings().bounded_batch_size, batch_bytes: int = BATCH_BYTES):
         self.spark, self.root, self.ip_priority = spark, root.rstrip("/"), tuple(ip_priority)
+        self.batch_files, self.batch_bytes = batch_files, batch_bytes
         self._lock, self._cancel = threading.RLock(), threading.Event()
         self._worker: threading.Thread | None = None
 
@@ -116,34 +152,44 @@ class LogStore:
         fs, where = filesystem(self.spark, path)
         return fs.exists(where)
 
-    def _current(self, table: str) -> str | None:
+    def _current(self, table: str) -> list[str]:
+        """The parts of the table, later ones overriding earlier ones."""
         fs, where = filesystem(self.spark, self._path("catalog", f"{table}.current"))
         if not fs.exists(where):
-            return None
+            return []
         stream = fs.open(where)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split("\n")
         finally:
             stream.close()
 
     def _read(self, table: str, schema) -> DataFrame:
-        version = self._current(table)
-        return self.spark.read.schema(schema).parquet(self._path("catalog", version)) if version else self.spark.createDataFrame([], schema)
-
-    def _write(self, table: str, rows: list[tuple], schema) -> None:
+        parts = [self.spark.read.schema(schema).parquet(self._path("catalog", p)) for p in self._current(table)]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if len(parts) == 1:
+            return parts[0]
+        rows = reduce(DataFrame.unionByName, (p.select(F.struct("*").alias("row"), F.lit(k).alias("part")) for k, p in enumerate(parts)))
+        return rows.groupBy(F.col("row")[schema.names[0]]).agg(F.max_by("row", "part").alias("row")).select("row.*")
+
+    def _write(self, table: str, rows: list[tuple], schema, added: bool = False) -> None:
+        self._put(table, self.spark.createDataFrame(rows, schema), added)
+
+    def _put(self, table: str, rows: DataFrame, added: bool = False) -> None:
+        """Make ``rows`` the table, or with ``added`` those of its rows that have their ids."""
         before, version = self._current(table), f"{table}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(self._path("catalog", version))
+        rows.coalesce(1).write.parquet(self._path("catalog", version))
         fs, temp = filesystem(self.spark, self._path("catalog", f"{table}.current.{uuid.uuid4().hex}"))
         out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join([*before, version] if added else [version]).encode()))
         out.close()
         jvm = self.spark._jvm
         final = jvm.org.apache.hadoop.fs.Path(self._path("catalog", f"{table}.current"))
         if not fs.rename(temp, final):  # file systems that do not rename over a file
             fs.delete(final, False)
             fs.rename(temp, final)
-        if before:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(self._path("catalog", before)), True)
+        for gone in [] if added else before:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self._path("catalog", gone)), True)
 
     # Sources.
 
@@ -178,14 +224,15 @@ class LogStore:
         """The source's files, last written first, with their ``state``."""
         return self.files().where(F.col("source_id") == source.source_id).withColumn("state", index_state()).orderBy(F.desc("last_write_utc"), "full_path")
 
-    def _states(self, source: LogSource | None = None) -> dict[int, FileState]:
+    def _states(self, source: LogSource) -> dict[int, FileState]:
         stamp = lambda t: t.replace(tzinfo=UTC) if t is not None and t.tzinfo is None else t
-        files = self.files() if source is None else self.files().where(F.col("source_id") == source.source_id)
-        rows = (FileState(**r.asDict()) for r in files.collect())
+        rows = (FileState(**r.asDict()) for r in self.files().where(F.col("source_id") == source.source_id).collect())
         return {s.file_id: replace(s, last_write_utc=stamp(s.last_write_utc), last_indexed_at=stamp(s.last_indexed_at)) for s in rows}
 
-    def _save_states(self, states: dict[int, FileState]) -> None:
-        self._write("files", [tuple(getattr(s, n) for n in LOG_FILES.names) for s in states.values()], LOG_FILES)
+    def _add_states(self, states: list[FileState]) -> None:
+        """Insert or replace some files' rows."""
+        if states:
+            self._write("files", [tuple(getattr(s, n) for n in LOG_FILES.names) for s in states], LOG_FILES, added=True)
 
     def entries(self) -> DataFrame:
         """All stored rows."""
@@ -200,16 +247,19 @@ class LogStore:
         return rows.join(self.spark.createDataFrame([(i,) for i in ids], "file_id long"), "file_id", "left_semi")
 
     def find_file(self, source: LogSource, path: str) -> FileState | None:
-        return next((s for s in self._states().values() if s.source_id == source.source_id and s.full_path.lower() == path.lower()), None)
+        return next((s for s in self._states(source).values() if s.full_path.lower() == path.lower()), None)
 
     # Indexing.
 
-    def index(self, source: LogSource, priority: SearchRequest | None = None, blocking: bool = True, now: datetime | None = None) -> IndexRun | None:
-        """Bring the source's rows up to date. Without ``blocking`` a worker does it; a later call replaces an earlier one."""
+    def index(self, source: LogSource, priority: SearchRequest | None = None, blocking: bool = True, now: datetime | None = None, on_progress: Callable[[IndexProgress], None] | None = None) -> IndexRun | None:
+        """Bring the source's rows up to date. Without ``blocking`` a worker does it; a later call replaces an earlier one.
+
+        ``on_progress`` hears of the state at the beginning and after each batch, which is committed by then.
+        """
         if blocking:
-            return self._index(source, priority, now)
+            return self._index(source, priority, now, on_progress)
         self.cancel()
-        self._worker = threading.Thread(target=self._index, args=(source, priority, now), daemon=True)
+        self._worker = threading.Thread(target=self._index, args=(source, priority, now, on_progress), daemon=True)
         self._worker.start()
         return None
 
@@ -221,13 +271,13 @@ class LogStore:
             self._worker.join()
         self._cancel.clear()
 
-    def _index(self, source: LogSource, priority: SearchRequest | None, now: datetime | None) -> IndexRun:
+    def _index(self, source: LogSource, priority: SearchRequest | None, now: datetime | None, on_progress: Callable[[IndexProgress], None] | None = None) -> IndexRun:
         began = datetime.now(UTC)
         tag = f"index-{id(self)}"
         with self._lock:
             self.spark.addTag(tag)
             try:
-                return self._index_files(source, priority, now or began, began)
+                return self._index_files(source, priority, now or began, began, on_progress or (lambda _: None))
             except Exception:
                 if not self._cancel.is_set():
                     raise
@@ -235,29 +285,57 @@ class LogStore:
             finally:
                 self.spark.removeTag(tag)
 
-    def _index_files(self, source: LogSource, priority: SearchRequest | None, now: datetime, began: datetime) -> IndexRun:
+    def _index_files(self, source: LogSource, priority: SearchRequest | None, now: datetime, began: datetime, on_progress: Callable[[IndexProgress], None]) -> IndexRun:
         wanted = priority.from_utc.date() if priority and priority.from_utc else None
         files = index_order(list_log_files(self.spark, source), wanted)
-        states = self._states()
-        by_path = {s.full_path.lower(): s for s in states.values() if s.source_id == source.source_id}
+        by_path = {s.full_path.lower(): s for s in self._states(source).values()}
         digests = prefix_digests(self.spark, [(f.path, s.prefix_length) for f in files if (s := by_path.get(f.path.lower())) and s.prefix_length])
-        fresh, grown, reset = [], [], 0
-        top = max(states, default=0)
+        todo, touched, reset = [], [], 0
+        top = self.files().agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
         for f in files:
             s = by_path.get(f.path.lower())
             if s is None:
                 top += 1
-                s = states[top] = FileState(top, source.source_id, f.path, f.name)
+                s = FileState(top, source.source_id, f.path, f.name)
             elif requires_reset(s, f, digests.get(f.path)):
                 reset += 1
-                s = states[s.file_id] = FileState(s.file_id, source.source_id, f.path, f.name)
+                s = FileState(s.file_id, source.source_id, f.path, f.name)
             elif s.is_fully_indexed and s.indexed_length == f.size:
-                states[s.file_id] = replace(s, file_size=f.size, last_write_utc=f.modified)
+                if (s.file_size, s.last_write_utc) != (f.size, f.modified):
+                    touched.append(replace(s, file_size=f.size, last_write_utc=f.modified))
                 continue
-            (grown if s.indexed_length else fresh).append((f, s))
-        rows = self._index_fresh(source, fresh, states, now) + self._index_grown(source, grown, states, now)
-        self._save_states(states)
-        return IndexRun(len(files), len(fresh) + len(grown), reset, rows, (datetime.now(UTC) - began).total_seconds())
+            todo.append((f, s))
+        self._add_states(touched)
+        total, rows, done = sum(f.size for f in files), 0, len(files) - len(todo)
+        left = sum(f.size for f, _ in todo)
+        on_progress(IndexProgress(done, len(files), total - left, total, rows))
+        for batch in in_batches(todo, self.batch_files, self.batch_bytes):
+            if self._cancel.is_set():
+                break
+            rows += self._index_batch(source, batch, now)
+            done, left = done + len(batch), left - sum(f.size for f, _ in batch)
+            on_progress(IndexProgress(done, len(files), total - left, total, rows))
+        if len(self._current("files")) > 1:
+            self._put("files", self.files())
+        return IndexRun(len(files), done - (len(files) - len(todo)), reset, rows, (datetime.now(UTC) - began).total_seconds(), cancelled=self._cancel.is_set())
+
+    def _index_batch(self, source: LogSource, batch: list[tuple[LogFile, FileState]], now: datetime) -> int:
+        """Rows and then checkpoints of some files."""
+        states = {s.file_id: s for _, s in batch}
+        fresh = [(f, s) for f, s in batch if not s.indexed_length]
+        if fresh:
+            self._add_states([s for _, s in fresh])
+            self._forget_rows(source, [s.file_id for _, s in fresh])
+        rows = self._index_fresh(source, fresh, states, now) + self._index_grown(source, [(f, s) for f, s in batch if s.indexed_length], states, now)
+        self._add_states(list(states.values()))
+        return rows
+
+    def _forget_rows(self, source: LogSource, ids: list[int]) -> None:
+        """Delete what earlier runs stored for files that are to be indexed from the beginning."""
+        fs, folder = filesystem(self.spark, self._path("entries", f"source_id={source.source_id}"))
+        if fs.exists(folder):
+            for name in {f"file_id={i}" for i in ids} & {s.getPath().getName() for s in fs.listStatus(folder)}:
+                self._delete(self._path("entries", f"source_id={source.source_id}", name))
 
     def _with_ids(self, entries: DataFrame, files: list[tuple[LogFile, FileState]], source: LogSource) -> DataFrame:
         ids = durable(self.spark.createDataFrame([(f.path, s.file_id) for f, s in files], "source_path string, file_id long"), "ids")
@@ -279,8 +357,6 @@ class LogStore:
         digests = prefix_digests(self.spark, [(f.path, f.size) for f, _ in files])
         for f, s in files:
             n, last_line = counts.get(s.file_id, (0, 0))
-            if n == 0:
-                self._delete(self._path("entries", f"source_id={source.source_id}", f"file_id={s.file_id}"))
             t = found.get(f.path)
             if t is None:
                 continue
@@ -327,16 +403,13 @@ class LogStore:
         """Drop the file's rows and its checkpoint."""
         with self._lock:
             self._delete(self._path("entries", f"source_id={state.source_id}", f"file_id={state.file_id}"))
-            states = self._states()
-            states[state.file_id] = FileState(state.file_id, state.source_id, state.full_path, state.file_name)
-            self._save_states(states)
+            self._add_states([FileState(state.file_id, state.source_id, state.full_path, state.file_name)])
 
     def rebuild(self, source: LogSource) -> IndexRun:
         """Index all files of the source anew."""
         with self._lock:
             self._delete(self._path("entries", f"source_id={source.source_id}"))
-            states = {k: FileState(s.file_id, s.source_id, s.full_path, s.file_name) if s.source_id == source.source_id else s for k, s in self._states().items()}
-            self._save_states(states)
+            self._add_states([FileState(s.file_id, s.source_id, s.full_path, s.file_name) for s in self._states(source).values()])
             return self._index(source, None, None)
 
     def clear(self) -> None:
@@ -365,10 +438,14 @@ class LogStore:
             return sum(gone.values())
 
     def optimize(self, source: LogSource, rows_per_file: int = 5_000_000) -> None:
-        """Rewrite the source's partitions as few files, sorted by time so that their statistics prune."""
+        """Rewrite the source's partitions as few files, sorted by time so that their statistics prune.
+
+        A log file's rows are dealt out in runs of ``rows_per_file`` lines, so that many tasks share a large one.
+        """
         with self._lock:
             rows = durable(self.entries().where(F.col("source_id") == source.source_id), "compact")
-            rows.repartition("source_id", "file_id").sortWithinPartitions("file_id", "timestamp_utc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("source_id", "file_id").parquet(self._path("entries"))
+            run = F.floor(F.col("line_number") / rows_per_file)
+            rows.repartition("source_id", "file_id", run).sortWithinPartitions("file_id", "timestamp_utc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("source_id", "file_id").parquet(self._path("entries"))
 
     def stats(self) -> DataFrame:
         """One row: stored bytes, entries, files, time of the last indexing."""
@@ -383,10 +460,10 @@ class LogStore:
     def search_frame(self, request: SearchRequest) -> DataFrame:
         """All matching entries of the request's source, stored or not, each line once, in no order."""
         source = request.source
-        states = {s.full_path.lower(): s for s in self._states().values() if s.source_id == source.source_id}
+        states = {s.full_path.lower(): s for s in self._states(source).values()}
         files = list_log_files(self.spark, source)
         digests = prefix_digests(self.spark, [(f.path, s.prefix_length) for f in files if (s := states.get(f.path.lower())) and s.prefix_length])
-        whole, tails, stored = [], [], []
+        whole, tails, stored, ends = [], [], [], []
         for f in files:
             s = states.get(f.path.lower())
             if not is_usable(s, f, digests.get(f.path)):
@@ -395,15 +472,17 @@ class LogStore:
             stored.append(s.file_id)
             if not s.is_fully_indexed or s.indexed_length < f.size:
                 tails.append({"path": f.path, "offset": s.indexed_length, "line": s.physical_lines, "header": s.fields_header})
+                ends.append((s.file_id, s.physical_lines))
         raw = read_w3c(self.spark, whole, ip_priority=self.ip_priority)
+        indexed = self._rows_of(source, stored)
         if tails:
+            # lines up to a file's checkpoint are stored, those after it are read, so none is in both; rows that a run which died left after it do not count
             raw = raw.unionByName(read_ranges(self.spark, tails, ip_priority=self.ip_priority))
+            upto = self.spark.createDataFrame(ends, "file_id long, upto long")
+            indexed = indexed.join(F.broadcast(upto) if len(ends) <= BROADCAST_FILES else upto, "file_id", "left").where("upto IS NULL OR line_number <= upto").drop("upto")
         raw = raw.withColumn("source_id", F.lit(source.source_id).cast("long"))
-        indexed = self._rows_of(source, stored)
         raw, indexed = matching(raw, request), matching(indexed, request)
-        if not tails:  # a file is either raw or stored, so no line can be in both
-            return raw.withColumn("is_indexed", F.lit(False)).unionByName(indexed.withColumn("is_indexed", F.lit(True)), allowMissingColumns=True)
-        return union_distinct(raw, indexed)
+        return raw.withColumn("is_indexed", F.lit(False)).unionByName(indexed.withColumn("is_indexed", F.lit(True)), allowMissingColumns=True)
 
     def search(self, request: SearchRequest) -> DataFrame:
         """The first ``max_results`` matches in result order."""
