@@ -148,17 +148,70 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def unite(n, pairs):
+    """The least index that each of ``n`` indices reaches over ``pairs``."""
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def shingles_of(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset([tuple(words)] if 0 < len(words) < k else [tuple(words[i : i + k]) for i in range(len(words) - k + 1)])
+
+
+def similar(a, b, least=0.8):
+    return a == b or len(a & b) >= least * len(a | b) - 1e-9
+
+
 def test_near_duplicates(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    sets = [shingles_of(t) for _, t in rows]
+    root = unite(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if similar(sets[a], sets[b])])
+    least = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, least[r]) for r, (i, _) in zip(root, rows, strict=True)), key=str)
+
+
+def test_fingerprint_components(odd):
+    got = simhash.near_duplicates(odd, words=3, similarity=None).collect()
     values = {r["fp"] & (2**64 - 1) for r in got}
     roots = linked(values, 2)
     least = {}
     for r in got:
         root = roots[r["fp"] & (2**64 - 1)]
         least[root] = min(x for x in (least.get(root), r["doc_id"]) if x is not None) if (least.get(root), r["doc_id"]) != (None, None) else None
-    assert all(r["component_id"] == least[roots[r["fp"] & (2**64 - 1)]] for r in got)
+    assert len(got) == odd.count() and all(r["component_id"] == least[roots[r["fp"] & (2**64 - 1)]] for r in got)
+
+
+@pytest.mark.parametrize("hubs, spread", [(0, 3), (0, 12), (4, 12), (0, 40)])
+def test_a_crowd_in_one_band_is_linked_exactly(spark, monkeypatch, hubs, spread):
+    """Whatever the hubs find, no pair across components is lost: tight crowds, loose ones, two centres, strangers."""
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    rng = random.Random(spread)
+    bases = [list(range(b * 1000, b * 1000 + 100)) for b in (1, 2)]
+    bases.append(bases[0][:75] + list(range(5000, 5030)))
+    sets = []
+    for k in range(90):
+        base = set(rng.choice(bases))
+        for _ in range(rng.randrange(spread)):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.randrange(10**6, 10**9))
+        sets.append(frozenset(base))
+    sets += [frozenset(rng.sample(range(10**9), 40)) for _ in range(5)] + [frozenset([1]), frozenset()]
+    sets = list(dict.fromkeys(sets))
+    want = unite(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])])
+    known = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(k, [7, 1000 + k % 3]) for k in range(len(sets))], "node long, keys array<long>")
+    none = spark.createDataFrame([], "src long, dst long")
+    got = {r["node"]: r["root"] for r in simhash.similar_components(nodes, none, lambda wanted: known.join(wanted, "node"), 0.8, bucket=1).collect()}
+    assert [got.get(k, k) for k in range(len(sets))] == want
 
 
 def test_keep_one(spark, odd):
@@ -172,6 +225,10 @@ def test_keep_one(spark, odd):
     docs = frame(spark, [(k, base if k % 3 else base.upper(), "en", "a") for k in range(9, 2, -1)] + [(90, prose(rng, 400), "en", "a")])
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {3, 90}
     assert simhash.keep_one(odd.limit(0)).count() == 0
+    clash = ("id", "gone", "again", "node", "fp", "n", "list")
+    named = odd.select("*", *(F.lit(c).alias(c) for c in clash)).withColumnRenamed("doc_id", "component_id")
+    again = simhash.keep_one(named, id_col="component_id")
+    assert again.columns == named.columns and sorted(map(str, ((r["component_id"], r["text"]) for r in again.collect()))) == sorted(map(str, rows))
 
 
 def test_near_duplicates_reach_similar_shingle_sets(spark):
@@ -186,12 +243,7 @@ def test_near_duplicates_reach_similar_shingle_sets(spark):
                 copy[at] = f"changed{rng.random()}"
             texts.append(" ".join(copy))
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
-    root = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = root[a], root[b]
-                root = [min(x, y) if r in (x, y) else r for r in root]
+    root = unite(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if similar(sets[a], sets[b])])
     assert len(set(root)) <= len(texts) - 70
     docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(root))

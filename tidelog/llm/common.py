@@ -6,7 +6,7 @@ driver and all executors share, so a lost executor costs a re-read and never a r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.storage import delete, drop_table, durable, fresh_path, scratch
 
-__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "fresh_path", "let", "long_rows", "scratch", "words_of"]
+__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "free_name", "fresh_path", "let", "long_rows", "scratch", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -48,6 +48,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many trailing ``_`` as it takes to differ from all ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """All words of a text in order; empty for null and for blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

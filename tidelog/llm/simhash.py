@@ -14,14 +14,18 @@ own ball and each point links what meets there to its least member. That is line
 fingerprints, and no point gathers more than one ball's worth of them.
 
 By default texts are linked by the Jaccard similarity of their sets of five-word shingles, 0.8 or
-more. 64 bits reach that far by chance only, so a second fingerprint, bands of min-hashes, proposes
-pairs beside equal fingerprints, and each pair's sets are compared in full. Rows with equal sets are one node.
-``similarity=None`` links fingerprints alone, as the query op4 does.
+more. Sets at 0.8 differ in some ten of 64 bits, where no segment's ball is small, so a second
+fingerprint, bands of min-hashes, proposes pairs beside those within ``max_bits`` of one another, and each pair's sets
+are compared in full. Rows with equal sets are one node. ``similarity=None`` links fingerprints alone, as the query op4 does.
 
-Defined results: null and blank texts have fingerprint zero and are linked like any other; texts
-shorter than a shingle hash their whole word sequence; repeated rows share a fingerprint and a
+Pairs inside what is already one component say nothing new. So each node is compared with one hub first, then the
+members of small bands, and those of large ones with some hubs, across components only. What large bands still hold apart is joined exactly,
+by the rarest of each set's differences from what most of them have.
+
+Defined results: null and blank texts have fingerprint zero, or the empty set, and are linked like any other; texts
+shorter than a shingle hash their whole word sequence; long texts are hashed whole; repeated rows share a fingerprint and a
 component; a null id never names a component unless all ids in it are null; an empty
-table gives an empty result.
+table gives an empty result; other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -35,15 +39,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ascii_lower, durable, each_batch, let, words_of
+from tidelog.llm.common import ascii_lower, durable, each_batch, free_name, let, words_of
 from tidelog.llm.graph import components
 
 #: Hashes whose bits are unpacked at a time: 64 bytes each.
 CHUNK = 1 << 17
 #: Two sets of similarity 0.8 miss all bands of the second fingerprint once in 20 000 times: (1 - 0.8 ** 5) ** 25.
 BANDS, BAND_ROWS = 25, 5
-#: Nodes of a hot key that its others are compared with.
-LEADERS = 4
+#: Nodes of a large band that its others are compared with before the rest is joined by differences.
+HUBS = 4
+#: Rows of ids and hashes that may be broadcast: 24 bytes each.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_hashes(text: Column, words: int) -> Column:
@@ -157,8 +163,8 @@ def _meeting(crowd: DataFrame, max_bits: int) -> DataFrame:
     return listed.join(hubs, "point").where("a <> b").where(_bit_distance() <= max_bits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
-def _to_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fingerprint, distinct shingles, the set's hash and its bands of least values under fixed multipliers."""
+def _to_sets(words: int, with_sets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fingerprint, the hash of the set of shingles and its size, and the bands of least values under fixed multipliers or the set."""
     odd = np.random.default_rng(words).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,65 +180,158 @@ def _to_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if len(full):
                 mixed = (flat ^ (flat >> np.uint64(31))) * odd[0]
                 node[full] = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), at[full])
-                for k, m in enumerate(odd):
+                for k, m in enumerate(odd if not with_sets else ()):
                     low = np.minimum.reduceat(flat * m, at[full])
                     bands[full, k // BAND_ROWS] = (bands[full, k // BAND_ROWS] ^ low) * odd[0] ^ (low >> np.uint64(32))
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
-            shingles = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], b.column(b.num_columns - 1), pa.array(node.view(np.int64)), lists, shingles], names=[*b.schema.names[:-2], "fp", "node", "bands", "shingles"])
+            if with_sets:
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
+            else:
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+            arrays = [b.column(b.num_columns - 1), pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *arrays], names=[*b.schema.names[:-2], "fp", "node", "n", "list"])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """``(id, fp, node, bands, shingles)`` for every row; ``node`` is the hash of the set of shingles."""
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, with_sets: bool = False) -> DataFrame:
+    """``(id, fp, node, n, list)`` for every row: ``node`` is the hash of its ``n`` distinct shingles, ``list`` has their bands or themselves."""
     hashed = docs.select(F.col(id_col), shingle_hashes(F.col(text), words).alias("hashes"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", longs), T.StructField("shingles", longs)])
-    return hashed.mapInArrow(_to_sets(words), schema)
-
-
-def similar(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, bucket: int = 16) -> DataFrame:
-    """``(src, dst)`` pairs of ``nodes(node, n, keys)`` that share a key and whose shingles, by ``sets_of``, have the similarity.
-
-    In a key that more than ``bucket`` nodes share, each is compared with LEADERS of them only.
+    fields = [T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("list", T.ArrayType(T.LongType()))]
+    return hashed.mapInArrow(_to_sets(words, with_sets), T.StructType([docs.schema[id_col], *fields]))
+
+
+def _slight(df: DataFrame) -> DataFrame:
+    """A durable table of ids and hashes, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _across(rows: DataFrame, other: DataFrame, key: str, only: Column | None = None) -> DataFrame:
+    """``(src, dst)`` of the nodes of ``rows`` and ``other`` that share ``key`` but no component; ``only`` may compare columns with those of ``other``, called ``other_...``."""
+    met = rows.join(other.select(key, *(F.col(c).alias(f"other_{c}") for c in other.columns if c != key)), key).where("node <> other_node AND root <> other_root")
+    met = met if only is None else met.where(only)
+    return met.select(F.least("node", "other_node").alias("src"), F.greatest("node", "other_node").alias("dst"))
+
+
+class _Linking:
+    """Components of nodes by the similarity of their sets, grown pair by pair that is found similar."""
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity, self.roots = sets, similarity, None
+
+    def add(self, pairs: DataFrame) -> None:
+        """Compare the sets of ``pairs(src, dst)`` and link those that are similar."""
+        asked = durable(pairs.distinct(), "asked")
+        known = self.sets.select("node", "shingles")
+        both = asked.join(known.toDF("src", "x"), "src").join(known.toDF("dst", "y"), "dst")
+        least, shared = F.lit(self.similarity), F.size(F.array_intersect("x", "y"))
+        sized = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y")) - 1e-9
+        same = sized & (shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9)
+        edges = both.where(same).select("src", "dst")
+        if self.roots is not None:
+            edges = edges.unionByName(self.roots.toDF("src", "dst"))
+        self.roots = durable(components(edges), "roots")
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows(node, ...)`` with ``root``."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def still_open(self, held: DataFrame) -> DataFrame:
+        """The rows of ``held(key, node, many, hub)``, with ``root``, whose key has nodes of several components."""
+        rows = durable(self.rooted(held), "rooted")
+        apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        return durable(rows.join(apart, "key", "left_semi"), "open")
+
+
+def _by_differences(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)`` of all nodes of ``rows(hub, node, root)`` of one hub but different components that may be similar.
+
+    What most nodes of a hub have is their core, and a node is described by its differences, the shingles that only it or only the
+    core has. Two nodes x and y are similar if and only if ``2 |Dx & Dy| >= f(x) + f(y)``, where ``f(x)`` is
+    ``|Dx| - c |x|`` with ``c = (1 - similarity) / (1 + similarity)``. So the node with the least f is similar to all whose
+    f is at most the negative of its own, whatever their differences; only the others, far ones, need differences
+    in common with whomever they are similar to. How many is bounded from below, and two sets that have so
+    many in common share one of each one's rarest.
     """
-    rows = nodes.select("node", "n", F.posexplode("keys").alias("seg", "key"))
-    at = F.struct("node", "n")
-    leaders = F.array(F.min(at), F.max(at), *(F.min_by(at, F.xxhash64("node", "seg", F.lit(k))) for k in range(LEADERS - 2)))
-    hubs = durable(rows.groupBy("seg", "key").agg(F.count("*").alias("many"), leaders.alias("leaders")).where("many > 1"), "hubs")
-    held = durable(rows.join(hubs, ["seg", "key"]), "held")
-    cold = held.where(F.col("many") <= bucket).select("seg", "key", "node", "n")
-    other = cold.select("seg", "key", F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = cold.join(other, ["seg", "key"]).where("node < b").select("node", "n", "b", "m")
-    hot = held.where(F.col("many") > bucket).select("node", "n", F.explode("leaders").alias("l")).select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
-    pairs = pairs.unionByName(hot.where("node <> b"))
-    # sets whose sizes differ by more cannot be that similar
-    near = pairs.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m"))
-    asked = durable(near.select(F.least("node", "b").alias("src"), F.greatest("node", "b").alias("dst")).distinct(), "asked")
-    wanted = asked.select(F.col("src").alias("node")).unionByName(asked.select(F.col("dst").alias("node"))).distinct()
-    known = durable(sets_of(wanted), "sets")
-    both = asked.join(known.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(known.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("src", "dst")
-
-
-def _near_sets(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
-    marked = durable(shingle_sets(docs, id_col, text, words).withColumn("n", F.size("shingles")), "fingerprints")
-    nodes = durable(marked.groupBy("node").agg(F.min(id_col).alias("least")), "nodes")
-    # of rows with equal sets the one with the least id stands for them; repeated ids and ids that are all null leave several
-    slim = marked.select(id_col, "node", "n", F.concat("bands", F.array("fp")).alias("keys"))
-    keyed = durable(slim.join(nodes, slim["node"].eqNullSafe(nodes["node"]) & slim[id_col].eqNullSafe(nodes["least"]), "left_semi").select("node", "n", "keys").dropDuplicates(["node"]), "one")
+    c = (1 - similarity) / (1 + similarity)
+    members = rows.join(sets, "node")
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("m"))
+    usual = members.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("df")).join(sizes, "hub").where("2 * df > m")
+    core = usual.groupBy("hub").agg(F.collect_list("token").alias("core"))
+    both = members.join(core, "hub", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    both = both.select("hub", "node", "root", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles")).alias("d"))
+    sides = durable(both.withColumn("f", F.size("d") - c * F.col("n")), "differences")
+    centres = durable(sides.groupBy("hub").agg(F.min("f").alias("least"), F.min_by("node", "f").alias("centre")), "centres")
+    longest = lambda bound: (F.size("d") - F.greatest(F.lit(1), F.ceil(bound / 2 - 1e-9)) + 1).cast("int")
+    sides = sides.join(centres, "hub").withColumn("far", F.col("f") + F.col("least") > 1e-9)
+    sides = sides.select("hub", "node", "root", "d", "f", "far", "centre", longest(F.col("f") + F.abs("least")).alias("short"), longest(F.col("f") + F.col("least")).alias("long"))
+    sides = durable(sides, "sides")
+    listed = sides.select("hub", "node", F.explode("d").alias("token"))
+    counts = durable(listed.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    ranked = listed.join(counts, ["hub", "token"], "left").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ranked"))
+    first = F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.when(F.col("far"), F.col("long")).otherwise(F.col("short")), F.lit(0)))).alias("at", "t")
+    prefixes = sides.select("hub", "node", "root", "f", "far", "short", "long", F.size("d").alias("n")).join(ranked, ["hub", "node"]).select("hub", "node", "root", "f", "far", "short", "n", first).where("t.df > 1")
+    prefixes = durable(prefixes.select(F.xxhash64("hub", "t.token").alias("key"), "node", "root", "f", "far", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("is_short")), "prefixes")
+    apart = prefixes.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("far").alias("some")).where("a <> b AND some").select("key")
+    prefixes = durable(prefixes.join(apart, "key", "left_semi"), "prefixes")
+    distant, near = prefixes.where("far"), prefixes.where("not far")
+    # no more than what follows the first one in common can be in common
+    enough = F.least("rest", "other_rest") >= (F.col("f") + F.col("other_f")) / 2 - 1e-9
+    found = _across(distant.where("is_short"), distant.where("is_short"), "key", enough).unionByName(_across(distant, near, "key", enough))
+    return found.unionByName(sides.where("not far AND node <> centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")))
+
+
+def similar_components(nodes: DataFrame, proposed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, bucket: int = 16) -> DataFrame:
+    """``(node, root)`` of the nodes that are linked: of ``nodes(node, keys)`` that share a key, and of ``proposed(src, dst)``, those whose sets have the similarity.
+
+    ``sets_of`` gives ``(node, shingles)``. No pair across components goes without comparison.
+    """
+    rows = nodes.select("node", F.posexplode("keys").alias("seg", "key")).select(F.xxhash64("seg", "key").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("hub")).where("many > 1")
+    held = durable(rows.join(shared, "key"), "held")
+    proposed = durable(proposed, "proposed")
+    wanted = held.select("node").unionByName(proposed.select(F.col("src").alias("node"))).unionByName(proposed.select(F.col("dst").alias("node"))).distinct()
+    state = _Linking(durable(sets_of(durable(wanted, "wanted")), "sets"), similarity)
+    state.add(held.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").toDF("dst", "src").select("src", "dst").unionByName(proposed))
+    rows = state.still_open(held)
+    large = rows.where(F.col("many") > bucket)
+    hubs = large.where(F.pmod(F.xxhash64("node"), F.col("many")) < HUBS)
+    small = rows.where(F.col("many") <= bucket)
+    state.add(_across(small, small, "key").unionByName(_across(large, hubs, "key")))
+    rows = state.still_open(held.where(F.col("many") > bucket))
+    if not rows.isEmpty():
+        state.add(_by_differences(rows.select("hub", "node", "root").distinct(), state.sets, similarity))
+    return state.roots
+
+
+def _near_sets(docs: DataFrame, words: int, max_bits: int, segments: int, similarity: float) -> DataFrame:
+    marked = durable(shingle_sets(docs, "id", "text", words), "fingerprints")
+    # rows with equal sets are one node, which the least id stands for; their fingerprints, which count repeats, may differ
+    nodes = durable(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("list").alias("list")), "nodes")
+    fps = durable(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
+    a, b = (fps.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("src", "a"), ("dst", "b")))
+    proposed = links(fps.select("fp"), max_bits, segments).join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        few = durable(nodes.join(wanted, "node").select("node", "least"), "wanted")
-        same = marked["node"].eqNullSafe(few["node"]) & marked[id_col].eqNullSafe(few["least"])
-        return marked.join(few, same, "left_semi").select("node", "shingles").dropDuplicates(["node"])
+        few = _slight(durable(nodes.join(wanted, "node").select(F.col("node").alias("wanted"), "least"), "few"))
+        # ids may be repeated, so that the set tells which of their rows it was
+        found = shingle_sets(docs.join(few, docs["id"].eqNullSafe(few["least"]), "left_semi"), "id", "text", words, with_sets=True)
+        return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("list").alias("shingles"))
 
-    roots = components(similar(keyed, sets_of, similarity))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = similar_components(nodes.select("node", F.concat("list", F.array("fp")).alias("keys")), proposed, sets_of, similarity)
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select(id_col, "fp", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select(id_col, "fp", "component_id")
+    return marked.select("id", "fp", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("id", "fp", "component_id")
+
+
+def _near_prints(docs: DataFrame, words: int, max_bits: int, segments: int, bucket: int) -> DataFrame:
+    marked = durable(fingerprints(docs, "id", "text", words), "fingerprints")
+    fps = durable(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(links(fps, max_bits, segments, bucket))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, max_bits: int = 2, segments: int = 2, bucket: int = 64, similarity: float | None = 0.8) -> DataFrame:
@@ -240,28 +339,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     With ``similarity`` None fingerprints within ``max_bits`` are linked, else texts whose sets of shingles have that Jaccard similarity.
     """
-    if similarity is not None:
-        return _near_sets(docs, id_col, text, words, similarity)
-    marked = durable(fingerprints(docs, id_col, text, words), "fingerprints")
-    fps = durable(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(fps, max_bits, segments, bucket))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    found = _near_prints(rows, words, max_bits, segments, bucket) if similarity is None else _near_sets(rows, words, max_bits, segments, similarity)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the row with the least id of each component stays.
 
-    Exact repeats of that row (same id and text) collapse into one.
+    Exact repeats of that row (same id and text) collapse into one. One join with the few ids that something is to be done
+    about decides on every row; texts are shuffled, once, only where those ids are too many to broadcast.
     """
-    found = durable(near_duplicates(docs, id_col, text, **kw), "components")
-    ids = found.select(F.col(id_col).alias("__id"), (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__gone"))
-    state = ids.groupBy("__id").agg(F.min("__gone").alias("__gone"), (F.count("*") > 1).alias("__again"))
-    odd = durable(state.where("__gone or __again"), "gone")
-    out = docs.join(odd.where("__gone"), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    again = odd.where("__again and not __gone").select("__id")
-    if again.isEmpty():
+    found = durable(near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id", "text", **kw), "components")
+    ids = found.select("id", (~F.col("id").eqNullSafe(F.col("component_id"))).alias("gone"))
+    state = ids.groupBy("id").agg(F.min("gone").alias("gone"), (F.count("*") > 1).alias("again"))
+    odd = durable(state.where("gone or again"), "odd")
+    mark, fate = free_name(docs.columns, "id"), free_name(docs.columns, "gone")
+    judged = docs.join(_slight(odd).toDF(mark, fate, free_name(docs.columns, "again")), F.col(id_col).eqNullSafe(F.col(mark)), "left")
+    out = judged.where(F.col(fate).isNull()).select(*docs.columns)
+    if odd.where("again and not gone").isEmpty():
         return out
-    same = out[id_col].eqNullSafe(F.col("__id"))
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, text]))
+    return out.unionByName(judged.where(~F.col(fate)).select(*docs.columns).dropDuplicates([id_col, text]))
