@@ -13,7 +13,8 @@ language, chosen by a seeded hash of the id. Every text is ranked whole.
 Defined results: null texts and texts without a letter are ``und`` with score 0; the score
 otherwise is 1 minus the nearest distance over the largest possible one; ties go to the language
 that sorts first; equally frequent n-grams rank by their code; rows with a null id or a null language never train; repeated rows are predicted alike.
-Without any profile all texts are ``und``.
+Without any profile all texts are ``und``. Long texts are ranked whole, in numpy arrays some twenty times their size; other
+columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.common import durable, each_batch
-from tidelog.llm.learning import fold_of
+from tidelog.llm.learning import chosen, fold_of
 
 PROFILE = 300
 BLANK = 32
@@ -74,7 +75,7 @@ def learn_profiles(docs: DataFrame, id_col: str, text: str, lang: str, folds: in
     sizes = durable(known.groupBy("lang").agg(F.least(F.lit(1.0), most_per_language / F.count("*")).alias("share")), "languages")
     if sizes.count() <= BROADCAST_LANGUAGES:  # no text is shuffled by its language
         sizes = F.broadcast(sizes)
-    picked = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    picked = known.join(sizes, "lang").where(chosen(F.col("id"), F.col("share"), seed))
     picked = picked.select("lang", F.trim(_plain("text")).alias("letters")).where("letters <> ''")
     counts = picked.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = _top(durable(counts, "grams"), size)
@@ -82,9 +83,10 @@ def learn_profiles(docs: DataFrame, id_col: str, text: str, lang: str, folds: in
 
 
 def _top(counts: DataFrame, size: int) -> list[tuple[str, list[int]]]:
-    names = sorted(r[0] for r in counts.select("lang").distinct().collect())  # one row a language
-    pick = lambda name: counts.where(F.col("lang") == name).orderBy(F.desc("n"), "code").limit(size).select("code").collect()
-    return [(name, [r[0] for r in pick(name)]) for name in names]
+    """Each language's most frequent codes; a language has no more codes than its sample of texts."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, size)
+    rows = counts.groupBy("lang").agg(F.transform(best, lambda x: x["code"]).alias("codes")).collect()  # one row a language
+    return sorted((r["lang"], r["codes"]) for r in rows)
 
 
 def _plain(text: str) -> Column:

@@ -17,8 +17,12 @@ def agreed_labels(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     return one.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("y2")).where("y = y2").select(id_col, "y")
 
 
+def chosen(key: Column, share: float | Column, seed: int) -> Column:
+    """Whether the seeded hash of ``key``, as a fraction of its 63 bits, falls below ``share``, however small that is."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return (share >= 1) | (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1) < (share * float(1 << 63)).cast("long"))
+
+
 def hash_sample(rows: DataFrame, id_col: str, share: float, seed: int) -> DataFrame:
     """The rows whose seeded id hash falls below ``share``: the same rows on any cluster."""
-    if share >= 1:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows if share >= 1 else rows.where(chosen(F.col(id_col), share, seed))
