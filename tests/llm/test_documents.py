@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, language_id, license_scan, mixing, quality_model, quality_rules, simhash, tokens, toxicity
 from tidelog.llm.graph import components
+from tidelog.llm.learning import chosen, hash_sample
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string, lang string, source string, score string, kept string, row string, words string"
@@ -465,14 +466,75 @@ def test_toxicity(learnt, odd):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_does_not_take_unlabelled_toxic_texts_for_clean():
-    """All toxic texts share one cue; half of them are hidden among the unlabelled."""
-    rng = np.random.default_rng(2)
+def packed(texts):
+    return np.concatenate([np.empty(0, np.int32), *texts]).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+
+
+def plain_risk(w, b, toxic, rest, prior):
+    """The non-negative risk, text by text."""
+    score = lambda x: 1 / (1 + np.exp(-(b + sum(w[k] for k in x))))
+    loss_toxic = sum(1 - score(x) for x in toxic) / len(toxic)
+    clean = sum(score(x) for x in rest) / len(rest) - prior * sum(score(x) for x in toxic) / len(toxic)
+    return prior * loss_toxic + max(0, clean), clean
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.99])
+def test_risk_and_its_gradient(prior):
+    """Against a plain sum and numeric slopes, with the clean part above and below zero."""
+    rng = np.random.default_rng(int(prior * 100))
+    toxic, rest = ([sorted(rng.choice(5, rng.integers(0, 4), replace=False).tolist()) for _ in range(n)] for n in (12, 40))
+    kinds = sorted({tuple(x) for x in rest})
+    rows = toxicity.Rows(*packed([np.array(x) for x in kinds]), np.array([sum(tuple(x) == k for x in rest) for k in kinds], float))
+    bad = toxicity.Rows(*packed([np.array(x) for x in toxic]), np.ones(12))
+    signs = set()
+    for b in (-1.0, 0.5, 0.0, 1.0):
+        w = rng.normal(size=5)
+        value, clean, grad = toxicity.risk(w, b, bad, rows.terms, 40, prior)
+        assert np.allclose((value, clean), plain_risk(w, b, toxic, rest, prior))
+        signs.add(clean >= 0)
+        part = (lambda w, b: plain_risk(w, b, toxic, rest, prior)[0]) if clean >= 0 else (lambda w, b: -plain_risk(w, b, toxic, rest, prior)[1])
+        h = 1e-6
+        slopes = [(part(w + h * np.eye(5)[k], b) - part(w - h * np.eye(5)[k], b)) / (2 * h) for k in range(5)]
+        assert np.allclose(grad, [*slopes, (part(w, b + h) - part(w, b - h)) / (2 * h)], atol=1e-6)
+    assert signs == {True} if prior < 0.5 else False in signs
+
+
+def cue_texts(n, m, share, seed=2):
+    """Toxic texts share one cue; ``share`` of the unlabelled ones are toxic too."""
+    rng = np.random.default_rng(seed)
     text = lambda bad: np.concatenate((rng.integers(10, 5000, 40), [7] if bad else [])).astype(np.int32)
-    pack = lambda xs: (np.concatenate(xs), np.concatenate(([0], np.cumsum([len(x) for x in xs]))))
-    model = toxicity.train(pack([text(True) for _ in range(200)]), pack([text(k % 4 == 0) for k in range(800)]), 0.25)
-    bad, good = model.scores(*pack([text(True) for _ in range(50)])), model.scores(*pack([text(False) for _ in range(50)]))
-    assert bad.min() > 0.5 and good.max() < 0.3
+    return [text(True) for _ in range(n)], [text(k < share * m) for k in range(m)]
+
+
+def test_toxicity_does_not_take_unlabelled_toxic_texts_for_clean(spark, monkeypatch):
+    toxic, rest = cue_texts(200, 800, 0.25)
+    counts = lambda x: np.bincount(np.concatenate(x), minlength=1 << toxicity.BITS)
+    codes = toxicity.lifted(counts(toxic), 200, counts(rest), 800, 4000)
+    assert 7 in codes
+    bad = toxicity.Rows(*toxicity._reduced(*packed(toxic), codes), np.ones(200))
+    places, offsets = toxicity._reduced(*packed(rest), codes)
+    frame = spark.createDataFrame([(places[a:b].tolist(),) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], "places array<int>").groupBy("places").agg(F.count("*").alias("n"))
+    model = toxicity.fit(codes, bad, toxicity._Patterns(frame, len(codes)), 800, counts(rest)[codes], None)
+    assert 0.2 < model.prior < 0.33
+    score = lambda texts: model.scores(*toxicity._reduced(*packed(texts), codes))
+    assert score(cue_texts(50, 0, 0, 3)[0]).min() > 0.5 and score(cue_texts(0, 50, 0, 4)[1]).max() < 0.3
+    monkeypatch.setattr(toxicity, "LOCAL_PATTERNS", 0)
+    spread = toxicity._Patterns(frame, len(codes))
+    w = np.linspace(0, 1, len(codes))
+    local = toxicity.Rows(places, offsets, np.ones(800))
+    assert spread.rows is None and np.allclose(spread.terms(w, -1.0), local.terms(w, -1.0))
+    assert np.allclose(spread.scored(w, np.array([-1.0, 0.0])), [toxicity._squash(local.logits(w, b)).sum() for b in (-1.0, 0.0)])
+    assert np.allclose(spread.reaching(w, np.array([0.1])), [(local.logits(w, 0.0) >= 0.1).sum()])
+
+
+def test_samples_may_be_tiny_shares(spark):
+    ids = spark.range(200_000).select(F.col("id"))
+    for share in (1e-3, 1e-5):
+        got = [r["id"] for r in hash_sample(ids, "id", share, 3).collect()]
+        assert abs(len(got) - 200_000 * share) < 6 * (200_000 * share + 1) ** 0.5
+    bound = ids.select(F.expr("1").alias("one"), chosen(F.col("id"), 9000 / 10**10, 1).alias("x"))
+    assert str(int(9000 / 10**10 * 2**63))[:6] in bound._jdf.queryExecution().optimizedPlan().toString().replace("L", "")
+    assert hash_sample(ids, "id", 1.0, 3).count() == 200_000 and ids.where(chosen(F.col("id"), F.lit(1.0), 3)).count() == 200_000
 
 
 def test_quality_model(learnt, odd):
