@@ -8,7 +8,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from tidelog.llm import chat, warc
@@ -124,7 +123,7 @@ def test_files_do_not_depend_on_the_cluster(spark, tmp_path):
         plain = gzip.decompress(data)
         assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and plain.endswith(b"\r\n\r\n")
     assert {p.name for p in a[2].iterdir()} - {"_temporary", "manifest"} == set(names(a))
-    assert not [p for p in (a[2] / "_temporary").iterdir()]
+    assert not (a[2] / "_temporary").exists()
     ids = [int(h["X-Page-ID"]) for f in sorted(names(a)) for h, _ in warc.read_records(io.BytesIO((a[2] / f).read_bytes())) if "X-Page-ID" in h]
     assert ids == sorted(ids), "records are sorted by id across files"
 
@@ -145,9 +144,40 @@ def test_damage_is_noticed(spark, tmp_path):
     assert got.count() == 1
 
 
-def test_a_repeated_attempt_replaces_the_file(tmp_path):
-    for _ in range(2):
-        shard = warc._Shard(f"file://{tmp_path}", 0, 1 << 20, 4)
+def test_shards_hold_their_size_wherever_ids_lie(spark, tmp_path):
+    """One id far out, the ends of the range, null ids and one id for all rows: the same number of shards, in order."""
+    html = lambda k: f"page {k} " * 20
+    dense = [(k, "u", html(k)) for k in range(2000)]
+    kinds = {"out": [*dense, (2**62, "u", "far")], "ends": [*dense, (-(2**63), "u", "low"), (2**63 - 1, "u", "high"), (-5, "u", "x")], "null": [(None, "u", t) for _, _, t in dense], "one": [(7, "u", t) for _, _, t in dense]}
+    for name, rows in kinds.items():
+        manifest, got, place = archive(spark, tmp_path, name, pages(spark, rows), shard_bytes=100_000)
+        files = {r["file"]: r["records"] for r in manifest.collect()}
+        assert 15 <= len({f.split("-")[1] for f in files}) <= 25 and max(files.values()) < 300
+        assert sorted((r["page_id"] for r in got.collect()), key=str) == sorted((r[0] for r in rows), key=str)
+        if name != "null":
+            ids = [int(h["X-Page-ID"]) for f in sorted(files) for h, _ in warc.read_records(io.BytesIO((place / f).read_bytes())) if "X-Page-ID" in h]
+            assert ids == sorted(r[0] for r in rows)
+
+
+def test_a_hot_payload_and_clashing_names(spark, tmp_path):
+    rows = [(k, f"u{k}", "" if k % 3 else f"own {k}") for k in range(900)]
+    df = pages(spark, rows).select("*", *(F.lit(1).alias(c) for c in ("place", "size", "shard", "refers_to", "payload", "keeper")))
+    _, got, _ = archive(spark, tmp_path, "h", df, shard_bytes=40_000)
+    assert {(r["page_id"], r["refers_to"]) for r in got.collect()} == {(k, 899 if k % 3 and k != 899 else None) for k in range(900)}
+
+
+def test_interleaved_attempts_leave_a_whole_file(tmp_path):
+    """A late attempt neither removes what another has finished nor leaves its own."""
+    root = f"file://{tmp_path}"
+    first, second = (warc._Shard(root, 0, 1 << 20, 4) for _ in range(2))
+    for shard in (first, second):
         shard.add(warc.page_record(1, "u", b"x", None))
-        (done,) = shard.finish()
-    assert pafs.LocalFileSystem().get_file_info(f"{tmp_path}/{done[0]}").size == done[2]
+    (done,) = first.finish()
+    moved = []
+    second.fs = type("Watched", (), {"__getattr__": lambda _, n: (lambda *a: moved.append(n)) if n in ("move", "delete_file") else getattr(first.fs, n)})()
+    assert second.finish() == [done] and moved == []
+    (tmp_path / done[0]).write_bytes(b"half")
+    third = warc._Shard(root, 0, 1 << 20, 4)
+    third.add(warc.page_record(1, "u", b"x", None))
+    assert third.finish() == [done] and hashlib.sha256((tmp_path / done[0]).read_bytes()).hexdigest() == done[3]
+    assert [p.name for p in (tmp_path / "_temporary").iterdir()] == []

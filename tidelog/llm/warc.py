@@ -1,19 +1,21 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by id and dealt to shards that cover ranges of ids; each shard is written by
+Records are sorted by id, equal ids by digest, and dealt to shards that cover ranges of that order; each shard is written by
 one task as a run of gzip files that roll at a compressed size. Headers, record ids and digests
 are generated from the records alone, so a task that runs again writes the same bytes. A file
-is written under a temporary name and renamed when complete, and readers go by the manifest
-table, which Spark commits after all files are in place: half-written files are never read.
+is written under a temporary name and moved when complete; one that is there already with the same content is left alone, whichever
+attempt wrote it. Readers go by the manifest table, which Spark commits after all files are in place: half-written files are never read.
 
 Of the records whose payloads are equal, the one with the largest id is a response and the others
-are revisits that refer to it. Shard limits come from exact byte counts over equal ranges
-of ids: neither samples nor the cluster's size change any file.
+are revisits that refer to it. This is worked out on ids and digests alone; what a revisit refers to then travels
+to the writers as a narrow row in front of its record, so payloads are shuffled once. Shard limits are quantiles by bytes of a sample by hash of
+the records, all of them if few: neither chance nor the cluster's size change any file.
 
 Defined results: a null payload is empty, a null url becomes ``urn:page:<id>``; payloads shorter
 than ``least_bytes`` are responses each; rows that repeat the largest id of a payload are responses
 too; rows with a null id come first and are responses unless a row with an id has the same payload;
-an empty table gives an empty manifest.
+an empty table gives an empty manifest; ids may lie anywhere in 64 bits; other columns of the input may have any name. A
+payload must fit in a writer's memory. Rows alike in id, payload and url always share a shard.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import durable, each_batch
+from tidelog.llm.common import delete, durable, each_batch
+from tidelog.llm.learning import chosen
 
 #: Duplicate groups that may be broadcast: 48 bytes each.
 BROADCAST_GROUPS = 100_000
-CELLS = 16_384
+#: Records of the sample that shard limits come from, 64 for each shard unless those are more, and bytes of a record beside its payload.
+SAMPLE, HEAD_BYTES = 2_000_000, 700
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
@@ -106,12 +111,26 @@ class _Shard:
         self.out.close()
         self.out = None
         final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-            self.fs.delete_file(final)  # an earlier attempt of this task wrote the same bytes
-        self.fs.move(f"{self.temp}/{self.name}", final)
+        if not self._is_there(final):  # else another attempt of this task wrote the same bytes
+            try:
+                self.fs.move(f"{self.temp}/{self.name}", final)
+            except OSError:  # a file system that does not move over a file, and what is there is not ours
+                if not self._is_there(final):
+                    self.fs.delete_file(final)
+                    self.fs.move(f"{self.temp}/{self.name}", final)
         self.done.append((self.name, self.records, self.size, self.sum.hexdigest()))
         self.count += 1
 
+    def _is_there(self, final: str) -> bool:
+        """Whether the file is there whole, by size and digest."""
+        if self.fs.get_file_info(final).size != self.size:
+            return False
+        found = hashlib.sha256()
+        with self.fs.open_input_stream(final, compression=None) as stream:
+            while data := stream.read(1 << 20):
+                found.update(data)
+        return found.digest() == self.sum.digest()
+
     def finish(self) -> list[tuple]:
         self.close()
         if self.fs.get_file_info(self.temp).type != pafs.FileType.NotFound:
@@ -119,53 +138,70 @@ class _Shard:
         return self.done
 
 
-def _cells(facts: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Least id, ids a cell, and each cell's shard: neighbouring cells share one up to ``shard_bytes``."""
-    low, high = facts.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int").alias("cell")
-    sizes = dict(facts.groupBy(cell).agg(F.sum(F.col("size") + 700)).collect())  # CELLS rows at most
-    shards, held, shard = [], 0, 0
-    for k in range(max(sizes, default=0) + 1):
-        size = sizes.get(k, 0)
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        held += size
-        shards.append(shard)
-    return low, width, shards
+def _place(page_id: Column, digest: Column) -> Column:
+    """Text in whose order records are written: null ids first, then ids as signed numbers, then digests."""
+    shifted = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(page_id.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), shifted)), F.upper(digest))
+
+
+def _limits(facts: DataFrame, shard_bytes: int) -> list[str]:
+    """The places at which a new shard begins, so that each has about ``shard_bytes``."""
+    rows, size = facts.agg(F.count("*"), F.coalesce(F.sum(F.col("size") + HEAD_BYTES), F.lit(0))).first()
+    shards = -(-size // shard_bytes)
+    if shards <= 1:
+        return []
+    if shards > SAMPLE // 8:
+        raise ValueError(f"{shards} shards of {shard_bytes} bytes: make them larger")
+    share = min(1.0, max(min(64 * shards, SAMPLE), SAMPLE // 40) / rows)
+    some = facts.where(chosen(F.col("place"), share, 5)).select("place", "size").toArrow()  # SAMPLE rows or so at most
+    places = np.array(some.column(0).to_pylist(), "S")
+    order = np.argsort(places, kind="stable")
+    places, sizes = places[order], some.column(1).to_numpy()[order] + HEAD_BYTES
+    first = np.concatenate(([True], places[1:] != places[:-1]))  # rows of one place stay together
+    before = (np.cumsum(sizes) - sizes)[first] * shards // sizes.sum()
+    return [p.decode() for p in places[first][np.flatnonzero(before[1:] != before[:-1]) + 1]]
 
 
 def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, level: int = 4) -> DataFrame:
     """Write all rows below ``root`` and return the committed manifest ``(file, records, bytes, sha256)``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    facts = durable(rows.select("page_id", "digest", "size"), "payloads")
+    rows = rows.withColumn("place", _place(F.col("page_id"), F.col("digest")))
+    facts = durable(rows.select("page_id", "digest", "size", "place"), "payloads")
     groups = facts.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     repeats = durable(groups.where("n > 1 and keeper is not null").select("digest", "size", "keeper"), "repeats")
-    low, width, shards = _cells(facts, shard_bytes)
     if repeats.count() <= BROADCAST_GROUPS:
         repeats = F.broadcast(repeats)
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    shard = F.get(F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>"), cell)
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    rows = rows.join(repeats, ["digest", "size"], "left").select(shard.alias("shard"), "page_id", "digest", "url", "payload", refers.alias("refers_to"))
-    dealt = rows.repartitionById(shards[-1] + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
+    revisits = facts.join(repeats, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("place", F.col("keeper").alias("refers_to")).distinct()
+    limits = np.array(_limits(facts, shard_bytes), "S")
+
+    @F.arrow_udf("int")
+    def shard_of(place: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(limits, np.array(place.to_pylist(), "S"), "right").astype(np.int32) if len(limits) else np.zeros(len(place), np.int32))
+
+    notes = revisits.select("place", "refers_to", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    records = rows.select("place", F.lit(None).cast("long").alias("refers_to"), "page_id", "url", "payload")
+    both = notes.unionByName(records).withColumn("shard", shard_of("place"))
+    dealt = both.repartitionById(len(limits) + 1, F.col("shard")).sortWithinPartitions("place", F.col("payload").isNotNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, done = None, []
+        now, done, noted, refers_to = None, [], None, None
         for b in each_batch(batches):
-            for shard, page_id, url_, payload_, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
+            for place, refer, page_id, url_, payload_, shard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
+                if not payload_.is_valid:
+                    noted, refers_to = place, refer
+                    continue
                 if now is None or now.shard != shard:
                     done += now.finish() if now else []
                     now = _Shard(root, shard, roll_bytes, level)
-                now.add(page_record(page_id, url_.as_py(), payload_.as_py(), refers_to))
+                now.add(page_record(page_id, url_.as_py(), payload_.as_py(), refers_to if noted == place else None))
         done += now.finish() if now else []
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "records", "bytes", "sha256"])
 
-    manifest = f"{root}/manifest"
+    manifest, spark = f"{root}/manifest", pages.sparkSession
     dealt.mapInArrow(run, MANIFEST).write.parquet(manifest)
-    return pages.sparkSession.read.schema(MANIFEST).parquet(manifest)
+    delete(spark, f"{root}/_temporary")  # of attempts that were killed; what still runs is not in the manifest's way
+    return spark.read.schema(MANIFEST).parquet(manifest)
 
 
 def read_records(stream: object, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
