@@ -213,33 +213,33 @@ def _across(rows: DataFrame, other: DataFrame, key: str, only: Column | None = N
 
 
 class _Linking:
-    """Components of nodes by the similarity of their sets, grown pair by pair that is found similar."""
+    """Links between nodes whose sets are similar. Nodes of one root are known to be connected."""
 
     def __init__(self, sets: DataFrame, similarity: float):
-        self.sets, self.similarity, self.roots = sets, similarity, None
+        self.sets, self.similarity, self.edges, self.roots = sets, similarity, None, None
 
-    def add(self, pairs: DataFrame) -> None:
-        """Compare the sets of ``pairs(src, dst)`` and link those that are similar."""
-        asked = durable(pairs.distinct(), "asked")
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Compare the sets of ``pairs(src, dst)``; those that are similar become edges, which are returned."""
         known = self.sets.select("node", "shingles")
-        both = asked.join(known.toDF("src", "x"), "src").join(known.toDF("dst", "y"), "dst")
+        both = pairs.distinct().join(known.toDF("src", "x"), "src").join(known.toDF("dst", "y"), "dst")
         least, shared = F.lit(self.similarity), F.size(F.array_intersect("x", "y"))
         sized = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y")) - 1e-9
         same = sized & (shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9)
-        edges = both.where(same).select("src", "dst")
-        if self.roots is not None:
-            edges = edges.unionByName(self.roots.toDF("src", "dst"))
-        self.roots = durable(components(edges), "roots")
+        new = durable(both.where(same).select("src", "dst"), "edges")
+        self.edges = new if self.edges is None else self.edges.unionByName(new)
+        return new
 
-    def rooted(self, rows: DataFrame) -> DataFrame:
-        """``rows(node, ...)`` with ``root``."""
-        if self.roots is None:
-            return rows.withColumn("root", F.col("node"))
-        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def take_neighbours(self) -> None:
+        """Each node takes its least neighbour, or itself, for its root: one pass that settles stars."""
+        both = self.edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(self.edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+        self.roots = durable(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
+
+    def take_components(self) -> None:
+        self.roots = durable(components(self.edges), "roots")
 
     def still_open(self, held: DataFrame) -> DataFrame:
-        """The rows of ``held(key, node, many, hub)``, with ``root``, whose key has nodes of several components."""
-        rows = durable(self.rooted(held), "rooted")
+        """The rows of ``held(key, node, many, hub)``, with ``root``, whose key has nodes of several roots."""
+        rows = held.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
         return durable(rows.join(apart, "key", "left_semi"), "open")
 
@@ -294,14 +294,16 @@ def similar_components(nodes: DataFrame, proposed: DataFrame, sets_of: Callable[
     wanted = held.select("node").unionByName(proposed.select(F.col("src").alias("node"))).unionByName(proposed.select(F.col("dst").alias("node"))).distinct()
     state = _Linking(durable(sets_of(durable(wanted, "wanted")), "sets"), similarity)
     state.add(held.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").toDF("dst", "src").select("src", "dst").unionByName(proposed))
+    state.take_neighbours()
     rows = state.still_open(held)
     large = rows.where(F.col("many") > bucket)
     hubs = large.where(F.pmod(F.xxhash64("node"), F.col("many")) < HUBS)
     small = rows.where(F.col("many") <= bucket)
     state.add(_across(small, small, "key").unionByName(_across(large, hubs, "key")))
+    state.take_components()
     rows = state.still_open(held.where(F.col("many") > bucket))
-    if not rows.isEmpty():
-        state.add(_by_differences(rows.select("hub", "node", "root").distinct(), state.sets, similarity))
+    if not rows.isEmpty() and not state.add(_by_differences(rows.select("hub", "node", "root").distinct(), state.sets, similarity)).isEmpty():
+        state.take_components()
     return state.roots
 
 
