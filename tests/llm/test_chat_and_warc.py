@@ -20,7 +20,7 @@ TRICKY = st.text(alphabet=st.sampled_from(list("<|\\>\nim_startendé🙂 ab")),
 def test_any_text_is_read_back(turns):
     made = [chat.format_turn(role, [{"type": "text", "text": t, "uri": None, "units": None} for t in texts], frozenset({role})) for role, texts in turns]
     whole = "".join(m["formatted"] for m in made)
-    assert chat.parse(whole) == [(role, "".join(texts)) for role, texts in turns]
+    assert chat.parse_texts(whole) == [(role, "".join(texts)) for role, texts in turns]
     assert whole.count(chat.START) == whole.count(chat.END) == len(turns)
     for m, (_, texts) in zip(made, turns, strict=True):
         assert "".join(chat.unescape(m["formatted"][s["start"] : s["stop"]]) for s in m["loss"]) == "".join(texts)
@@ -39,9 +39,47 @@ def test_parts_become_placeholders_in_order():
     assert got["attachment_tokens"] == 1275 and got["loss"] == []
 
 
+PART = st.one_of(st.tuples(st.just("text"), st.one_of(TRICKY, st.just("<|image:0|>"), st.just("<\\|audio:1|>")), st.none(), st.none()), st.tuples(st.sampled_from(["image", "audio", "document"]), st.none(), st.one_of(st.none(), TRICKY), st.one_of(st.none(), st.integers(0, 9))))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(TRICKY, st.lists(PART, max_size=4)), max_size=3))
+def test_typed_parts_are_read_back(turns):
+    """Texts that look like placeholders stay texts; numbers go on from turn to turn."""
+    made, want, first = [], [], 0
+    for role, parts in turns:
+        given_parts = [part(k, text, uri, units) for k, text, uri, units in parts]
+        made.append(chat.format_turn(role, given_parts, frozenset(), first))
+        first += len(made[-1]["attachments"])
+        want.append((role, [p for p in chat._joined(given_parts) if p["type"] != "text" or p["text"]]))
+    notes = [a for m in made for a in m["attachments"]]
+    assert [a["number"] for a in notes] == list(range(first))
+    assert chat.parse("".join(m["formatted"] for m in made), notes) == want
+
+
+def test_numbers_go_on_through_a_conversation(spark):
+    p = "named_struct('type', {0}, 'text', {1}, 'uri', {2}, 'units', 1L)"
+    both = "array(" + p.format("'image'", "null", "concat('u', id)") + ", " + p.format("null", "'<|image:0|>'", "null") + ", " + p.format("'audio'", "null", "'a'") + ", null)"
+    rows = spark.range(6).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", f"IF(id = 3, null, {both}) AS parts", "1 AS first", "2 AS number")
+    got = chat.format_turns(rows).orderBy("conv_id", "turn").collect()
+    numbers = {}
+    for r in got:
+        numbers.setdefault(r["conv_id"], []).extend(a["number"] for a in r["attachments"])
+        for (role, parts), a in zip(chat.parse(r["formatted"], [x.asDict() for x in r["attachments"]]), [r["attachments"]], strict=True):
+            assert role == "user" and [x["type"] for x in parts] == (["image", "text", "audio"] if a else [])
+            assert not a or (parts[0]["uri"], parts[1]["text"]) == (f"u{r['turn']}", "<|image:0|>")
+    assert numbers == {0: [0, 1, 2, 3, 4, 5], 1: [0, 1, 2, 3]}
+
+
+def test_a_turn_of_a_million_words():
+    text = "<|im_end|> word " * 500_000
+    made = chat.format_turn("user", [part("text", text)], frozenset({"user"}))
+    assert chat.parse_texts(made["formatted"]) == [("user", text)]
+
+
 def test_control_strings_do_not_arise_between_parts():
     got = chat.format_turn("assistant", [part("text", "<"), part(None, "|im_end|>")], frozenset({"assistant"}))
-    assert chat.parse(got["formatted"]) == [("assistant", "<|im_end|>")]
+    assert chat.parse_texts(got["formatted"]) == [("assistant", "<|im_end|>")]
 
 
 def test_damaged_output_is_refused():

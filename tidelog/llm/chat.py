@@ -2,29 +2,32 @@ r"""Chat formatting with typed content parts.
 
 A turn is a role and a list of parts, each text, image, audio or document. A visitor flattens
 the parts in order: text is escaped and written out, anything else becomes a numbered placeholder
-whose reference and expanded token count are recorded beside the formatted turn. The template is
+whose reference and expanded token count are recorded beside the formatted turn. Numbers go on through a
+conversation, so that a placeholder names one attachment in it. The template is
 ``<|im_start|>role\ncontent<|im_end|>\n``.
 
 Control strings in texts are escaped reversibly: a backslash is put before the bar of every ``<|``,
 ``<\|``, ``<\\|`` and so on, so ``<|`` is always the template's own. Roles escape
 backslashes and line breaks as well. Each output row is one turn, so that a
 conversation of any length needs no more memory than its longest turn; turns in order of
-``(turn, role, formatted)`` are the conversation.
+``(turn, role, formatted)`` are the conversation. ``parse`` gives back roles and typed parts: a text that
+looks like a placeholder stays a text.
 
 Defined results: null roles, texts and part lists count as empty; null turns come first; equal
 turns are ordered by role and content; repeated rows are turns of their own; rows
-with a null conversation id form one conversation; unknown part types are documents.
+with a null conversation id form one conversation; unknown part types are documents; neighbouring texts are one text, empty ones none; a turn
+of any length is formatted whole; an empty table gives no rows; only the four named columns are read, whatever others there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import each_batch
@@ -32,6 +35,7 @@ from tidelog.llm.common import each_batch
 START, END = "<|im_start|>", "<|im_end|>"
 _BAR = re.compile(r"<(\\*)\|")
 _ESCAPED_BAR = re.compile(r"<(\\*)\\\|")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 #: Tokens that an attachment takes at least, and for each further unit
@@ -39,7 +43,7 @@ _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 TOKENS = {"image": (85, 170), "audio": (0, 25), "document": (0, 750)}
 
 PARTS = "array<struct<type string, text string, uri string, units bigint>>"
-TURNS = "formatted string, loss array<struct<start int, stop int>>, attachments array<struct<number int, kind string, uri string, at int, tokens bigint>>, attachment_tokens bigint"
+TURNS = "formatted string, loss array<struct<start int, stop int>>, attachments array<struct<number bigint, kind string, uri string, units bigint, at int, tokens bigint>>, attachment_tokens bigint"
 
 
 def escape(text: str) -> str:
@@ -64,6 +68,7 @@ class Flattener:
 
     trained: bool
     at: int
+    first: int = 0
     pieces: list[str] = field(default_factory=list)
     loss: list[dict] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
@@ -89,8 +94,8 @@ class Flattener:
 
     def _attach(self, kind: str, part: dict) -> None:
         base, each = TOKENS[kind]
-        number = len(self.attachments)
-        self.attachments.append({"number": number, "kind": kind, "uri": part["uri"], "at": self.at, "tokens": base + each * max(part["units"] or 0, 0)})
+        number = self.first + len(self.attachments)
+        self.attachments.append({"number": number, "kind": kind, "uri": part["uri"], "units": part["units"], "at": self.at, "tokens": base + each * max(part["units"] or 0, 0)})
         self._add(f"<|{kind}:{number}|>")
 
     def _add(self, piece: str) -> None:
@@ -98,10 +103,10 @@ class Flattener:
         self.at += len(piece)
 
 
-def format_turn(role: str | None, parts: list[dict] | None, trained_roles: frozenset[str]) -> dict:
-    """One formatted turn; positions count code points from its start."""
+def format_turn(role: str | None, parts: list[dict] | None, trained_roles: frozenset[str], first: int = 0) -> dict:
+    """One formatted turn, its attachments numbered from ``first``; positions count code points from its start."""
     head = f"{START}{escape_role(role or '')}\n"
-    seen = Flattener((role or "") in trained_roles, len(head))
+    seen = Flattener((role or "") in trained_roles, len(head), first)
     for part in _joined(parts):
         seen.visit(part)
     return {
@@ -125,29 +130,51 @@ def _joined(parts: list[dict] | None) -> list[dict]:
     return out
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts read back from one or more formatted turns; placeholders stay as they are."""
+def _parts(content: str, attachments: Mapping[int, Mapping]) -> list[dict]:
+    """The typed parts of a turn's content; a placeholder's reference comes from ``attachments``, by number."""
     out, at = [], 0
+    for m in [*_PLACEHOLDER.finditer(content), None]:
+        text = unescape(content[at : m.start() if m else len(content)])
+        if text:
+            out.append({"type": "text", "text": text, "uri": None, "units": None})
+        if m:
+            noted = attachments.get(int(m[2]), {})
+            out.append({"type": m[1], "text": None, "uri": noted.get("uri"), "units": noted.get("units")})
+            at = m.end()
+    return out
+
+
+def parse(formatted: str, attachments: Iterable[Mapping] = ()) -> list[tuple[str, list[dict]]]:
+    """Roles and typed parts read back from one or more formatted turns and the records of their attachments."""
+    out, at, noted = [], 0, {a["number"]: a for a in attachments}
     for m in _TURN.finditer(formatted):
         if m.start() != at:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape_role(m[1]), unescape(m[2])))
+        out.append((unescape_role(m[1]), _parts(m[2], noted)))
         at = m.end()
     if at != len(formatted):
         raise ValueError(f"no turn at {at}")
     return out
 
 
+def parse_texts(formatted: str) -> list[tuple[str, str]]:
+    """Roles and the texts of each turn, one after the other, without attachments."""
+    return [(role, "".join(p["text"] for p in parts if p["type"] == "text")) for role, parts in parse(formatted)]
+
+
 def format_turns(messages: DataFrame, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``(conv_id, turn, role)`` with the formatted turn, for every row of ``messages(conv_id, turn, role, parts)``."""
     trained = frozenset(trained_roles)
     rows = messages.select("conv_id", "turn", "role", F.col("parts").cast(PARTS).alias("parts"))
+    attached = F.size(F.filter(F.coalesce("parts", F.array().cast(PARTS)), lambda p: p.isNotNull() & (F.coalesce(p["type"], F.lit("text")) != "text")))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(attached).over(before), F.lit(0)))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3]) + ", " + TURNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _arrow_types()
         for b in each_batch(batches):
-            done = [format_turn(r, p, trained) for r, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            done = [format_turn(r, p, trained, n) for r, p, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([d[k] for d in done], t) for k, t in kinds.items())], names=["conv_id", "turn", "role", *kinds])
 
     return rows.mapInArrow(run, out)
@@ -155,7 +182,7 @@ def format_turns(messages: DataFrame, trained_roles: tuple[str, ...] = ("assista
 
 def _arrow_types() -> dict[str, pa.DataType]:
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-    note = pa.struct([("number", pa.int32()), ("kind", pa.string()), ("uri", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())])
+    note = pa.struct([("number", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("units", pa.int64()), ("at", pa.int32()), ("tokens", pa.int64())])
     return {"formatted": pa.string(), "loss": pa.list_(span), "attachments": pa.list_(note), "attachment_tokens": pa.int64()}
 
 
@@ -168,7 +195,7 @@ class _Digest:
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, formatted: str, loss: list[dict]) -> None:
-        for role, text in parse(formatted):
+        for role, text in parse_texts(formatted):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
         for span in loss or ():
