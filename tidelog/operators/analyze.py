@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.text import blank, display_status, display_url
 from tidelog.operators.search import result_order
+from tidelog.storage import durable
 
 TOP, TIMELINE = 20, 500
 
@@ -29,7 +30,7 @@ def address() -> Column:
 
 def by_spelling(entries: DataFrame, key: Column, name: str, *more: Column) -> DataFrame:
     """``(name, count, last_seen, more...)`` of each key as it is spelt; ``more`` are aggregates of numbers."""
-    return entries.select("*", key.alias("__key")).groupBy(F.col("__key").alias(name)).agg(F.count("*").alias("count"), F.max("timestamp_utc").alias("last_seen"), *more)
+    return entries.groupBy(key.alias(name)).agg(F.count("*").alias("count"), F.max("timestamp_utc").alias("last_seen"), *more)
 
 
 def shown(name: str) -> Column:
@@ -192,8 +193,7 @@ def traffic_summary(entries: DataFrame) -> DataFrame:
 def trend_unit(entries: DataFrame) -> str:
     """Buckets of a minute; of an hour from a span of two days, of a day from one of sixty."""
     span = F.timestamp_diff("MICROSECOND", F.min("timestamp_utc"), F.max("timestamp_utc"))
-    days = (entries.agg(span.alias("s")).first()["s"] or 0) / 86_400_000_000
-    return "day" if days >= 60 else "hour" if days >= 2 else "minute"
+    return _unit(entries.agg(span.alias("s")).first()["s"])
 
 
 def trend(entries: DataFrame, unit: str | None = None) -> DataFrame:
@@ -204,14 +204,34 @@ def trend(entries: DataFrame, unit: str | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("count")).orderBy("bucket")
 
 
+def _unit(span_us: float | None) -> str:
+    days = (span_us or 0) / 86_400_000_000
+    return "day" if days >= 60 else "hour" if days >= 2 else "minute"
+
+
 def analyze_traffic(entries: DataFrame) -> TrafficReport:
-    """All requests."""
-    rows = with_url(entries)
-    return TrafficReport(
-        traffic_summary(rows),
-        top_by_count(rows, F.col("url"), "url"),
-        top_by_count(rows, address(), "ip"),
-        top_by_count(rows, F.col("user_agent"), "user_agent"),
-        distribution(rows, "status_code"),
-        trend(rows),
-    )
+    """All requests.
+
+    One pass over the entries counts URLs, addresses, agents and, by minute, statuses, into one table from which all parts are
+    made. It is written to the shared folder, so that no part reads the entries again.
+    """
+    rows, time = with_url(entries), F.col("timestamp_utc")
+    name = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("name"), F.lit(None).cast(entries.schema["status_code"].dataType).alias("status_code"), F.lit(None).cast(entries.schema["timestamp_utc"].dataType).alias("minute"))
+    minute = F.struct(F.lit("minute").alias("kind"), F.lit(None).cast("string").alias("name"), "status_code", F.date_trunc("minute", time).cast(entries.schema["timestamp_utc"].dataType).alias("minute"))
+    each = rows.select("timestamp_utc", F.explode(F.array(name("url", F.col("url")), name("ip", address()), name("agent", F.col("user_agent")), minute)).alias("t"))
+    tally = durable(each.groupBy("t.kind", "t.name", "t.status_code", "t.minute").agg(F.count("*").alias("count"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen")), "traffic")
+
+    def top(kind: str, column: str) -> DataFrame:
+        spelt = tally.where((F.col("kind") == kind) & ~blank(F.col("name"))).withColumnRenamed("name", column)
+        groups = spelt.groupBy(F.upper(column).alias("u")).agg(shown(column), F.sum("count").alias("count"))
+        return groups.orderBy(F.desc("count"), "u").limit(TOP).select(column, "count")
+
+    minutes = tally.where("kind = 'minute'")
+    span = F.timestamp_diff("MICROSECOND", F.min("first_seen"), F.max("last_seen")).cast("double")
+    ips = F.count_distinct(F.when((F.col("kind") == "ip") & ~blank(F.col("name")), F.upper("name")))
+    total = F.coalesce(F.sum(F.when(F.col("kind") == "minute", F.col("count"))), F.lit(0))
+    summary = tally.agg(total.alias("total_requests"), ips.alias("unique_ips"), (total / F.greatest(F.lit(1.0).cast("double"), F.coalesce(span / 60_000_000, F.lit(1.0).cast("double")))).alias("requests_per_minute"))
+    unit = _unit(minutes.agg(span.alias("s")).first()["s"])
+    buckets = minutes.where("minute IS NOT NULL").groupBy(F.date_trunc(unit, "minute").cast(entries.schema["timestamp_utc"].dataType).alias("bucket")).agg(F.sum("count").alias("count")).orderBy("bucket")
+    statuses = minutes.where("status_code IS NOT NULL").groupBy("status_code").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "status_code")
+    return TrafficReport(summary, top("url", "url"), top("ip", "ip"), top("agent", "user_agent"), statuses, buckets)

@@ -43,7 +43,10 @@ def union_distinct(raw: DataFrame, indexed: DataFrame) -> DataFrame:
     """Both inputs, one row for each (source, path, line); the raw copy wins."""
     both = raw.withColumn("is_indexed", F.lit(False)).unionByName(indexed.withColumn("is_indexed", F.lit(True)), allowMissingColumns=True)
     w = Window.partitionBy("source_id", F.lower("source_path"), "line_number").orderBy("is_indexed")
-    return both.withColumn("__copy", F.row_number().over(w)).where("__copy = 1").drop("__copy")
+    copy = "copy"
+    while copy in both.columns:
+        copy += "_"
+    return both.withColumn(copy, F.row_number().over(w)).where(F.col(copy) == 1).drop(copy)
 
 
 def grid(results: DataFrame) -> DataFrame:

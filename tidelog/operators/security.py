@@ -122,7 +122,8 @@ def with_rules(entries: DataFrame, rules: Sequence[SecurityRule] = DEFAULT_RULES
 def match_rules(entries: DataFrame, rules: Sequence[SecurityRule] = DEFAULT_RULES) -> DataFrame:
     """One finding for each entry and rule that it matches, without limit."""
     known = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title if r.title.strip() else r.category).alias("title"), F.lit(severity_of(r.category)).alias("severity"), F.lit(f"matches rule {r.pattern}; a heuristic sign, not proof of an attack").alias("reason")) for r in rules)) if rules else None
-    rows = with_rules(entries, rules).where(F.size("rules") > 0).select("*", F.explode("rules").alias("ordinal"))
+    # exploding the expression itself, unlike a column that a filter looks at too, matches each text once
+    rows = with_url(entries).select("*", F.explode(matched_rules(rules, match_text())).alias("ordinal"))
     if known is None:
         known = F.array(F.struct(*(F.lit("").alias(n) for n in ("rule_id", "title", "severity", "reason"))))
     rule = F.get(known, F.col("ordinal"))
@@ -140,15 +141,29 @@ def _chosen(rules: Sequence[SecurityRule], test) -> Column:
     return F.filter("rules", lambda x: x.isin(wanted) if wanted else F.lit(False))
 
 
-def ip_aggregates(entries: DataFrame, rules: Sequence[SecurityRule] = DEFAULT_RULES) -> DataFrame:
-    """Per address: requests, 404s, distinct URLs, time span and matches of sensitive rules.
+def _sensitive(rules: Sequence[SecurityRule]) -> list[int]:
+    return [k for k, r in enumerate(rules) if "sensitive" in r.category.lower()]
+
+
+def _by_address_and_url(entries: DataFrame, rules: Sequence[SecurityRule], more: dict[str, Column]) -> DataFrame:
+    """Figures of each address, null if it has none, and URL; ``more`` are further aggregates over ``rules``, ``status_code`` and ``user_agent``.
 
     Grouping by address and URL first lets a busy address be counted by many tasks.
     """
-    rows = with_rules(entries, rules).select("*", address().alias("ip")).where(~blank(F.col("ip")))
+    rows = with_rules(entries, rules).select("*", F.when(~blank(address()), F.upper(address())).alias("ip"))
     hits = F.size(_chosen(rules, lambda r: "sensitive" in r.category.lower()))
-    urls = rows.groupBy(F.upper("ip").alias("ip"), F.upper("url").alias("u")).agg(F.count("*").alias("n"), F.count_if(F.col("status_code") == 404).alias("nf"), F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("b"), F.sum(hits).alias("h"))
-    return urls.groupBy("ip").agg(F.sum("n").alias("requests"), F.sum("nf").alias("not_found"), F.count("*").alias("unique_urls"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.sum("h").alias("sensitive_hits"))
+    figures = {"requests": F.count("*"), "not_found": F.count_if(F.col("status_code") == 404), "first_seen": F.min("timestamp_utc"), "last_seen": F.max("timestamp_utc"), "sensitive_hits": F.sum(hits)}
+    return rows.groupBy("ip", F.upper("url").alias("u")).agg(*(c.alias(n) for n, c in (figures | more).items()))
+
+
+def _by_address(urls: DataFrame, more: dict[str, Column]) -> DataFrame:
+    figures = {"requests": F.sum("requests"), "not_found": F.sum("not_found"), "unique_urls": F.count("*"), "first_seen": F.min("first_seen"), "last_seen": F.max("last_seen"), "sensitive_hits": F.sum("sensitive_hits")}
+    return urls.groupBy("ip").agg(*(c.alias(n) for n, c in (figures | more).items()))
+
+
+def ip_aggregates(entries: DataFrame, rules: Sequence[SecurityRule] = DEFAULT_RULES) -> DataFrame:
+    """Per address: requests, 404s, distinct URLs, time span and matches of sensitive rules."""
+    return _by_address(_by_address_and_url(entries, rules, {}).where("ip IS NOT NULL"), {})
 
 
 def _scans() -> Column:
@@ -167,27 +182,26 @@ BROWSER = r"(?i)mozilla|chrome|firefox|safari|edg/"
 
 
 def score(entries: DataFrame, rules: Sequence[SecurityRule] = DEFAULT_RULES) -> DataFrame:
-    """One row: ``score`` 0 to 100, ``severity``, ``likely_scanner`` and ``reasons``."""
-    named = lambda part: F.coalesce(F.bool_or(F.size(_chosen(rules, lambda r: part in r.id.upper())) > 0), F.lit(False))
-    sensitive = _chosen(rules, lambda r: "sensitive" in r.category.lower())
-    rows = with_rules(entries, rules)
-    whole = rows.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("status_code") == 404).alias("nf"),
-        F.count_if(F.col("status_code").between(200, 399)).alias("ok"),
-        F.coalesce(F.bool_or(F.col("user_agent").rlike(BROWSER)), F.lit(False)).alias("browser"),
-        F.coalesce(F.sum(F.size(sensitive)), F.lit(0)).alias("hits"),
-        *(F.coalesce(F.bool_or(F.array_contains(sensitive, k)), F.lit(False)).cast("int").alias(f"r{k}") for k, r in enumerate(rules) if "sensitive" in r.category.lower()),
-        named("TRAVERSAL").alias("traversal"),
-        named("SQL").alias("sql"),
-        named("XSS").alias("xss"),
-        named("METHOD").alias("method"),
+    """One row: ``score`` 0 to 100, ``severity``, ``likely_scanner`` and ``reasons``.
+
+    One flow: figures by address and URL, of these by address, of these over all; each entry is matched once.
+    """
+    named = {n: F.coalesce(F.max(F.size(_chosen(rules, lambda r, part=part: part in r.id.upper())) > 0), F.lit(False)) for n, part in (("traversal", "TRAVERSAL"), ("sql", "SQL"), ("xss", "XSS"), ("method", "METHOD"))}
+    kept = {f"r{k}": F.max(F.array_contains("rules", k)) for k in _sensitive(rules)}
+    flags = named | kept | {"browser": F.coalesce(F.max(F.col("user_agent").rlike(BROWSER)), F.lit(False))}
+    ok = F.count_if(F.col("status_code").between(200, 399))
+    per_ip = _by_address(_by_address_and_url(entries, rules, flags | {"ok": ok}), {n: F.max(n) for n in flags} | {"ok": F.sum("ok")})
+    real = F.col("ip").isNotNull()
+    one = per_ip.agg(
+        F.coalesce(F.sum("requests"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("not_found"), F.lit(0)).alias("nf"),
+        F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"),
+        F.coalesce(F.sum("sensitive_hits"), F.lit(0)).alias("hits"),
+        F.coalesce(F.max(F.when(real, F.col("sensitive_hits"))), F.lit(0)).alias("most"),
+        F.coalesce(F.max(real & _scans()), F.lit(False)).alias("likely_scanner"),
+        *(F.coalesce(F.max(n), F.lit(False)).alias(n) for n in flags),
     )
-    kinds = sum((F.col(f"r{k}") for k, r in enumerate(rules) if "sensitive" in r.category.lower()), F.lit(0))
-    per_ip = ip_aggregates(entries, rules)
-    by_ip = per_ip.select("sensitive_hits", _scans().cast("int").alias("scans")).agg(F.coalesce(F.max("sensitive_hits"), F.lit(0)).alias("most"), (F.coalesce(F.max("scans"), F.lit(0)) > 0).alias("likely_scanner"))
-    both = whole.unionByName(by_ip, allowMissingColumns=True)
-    one = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in both.columns))
+    kinds = sum((F.col(n).cast("int") for n in kept), F.lit(0))
     many404 = (F.col("total") > 0) & (F.col("nf") / F.greatest("total", F.lit(1)) > 0.8)
     parts = [
         (F.col("hits") > 0, 15, "Sensitive files or suspicious paths were requested"),
