@@ -453,7 +453,7 @@ class LogStore:
         size = fs.getContentSummary(where).getLength() if fs.exists(where) else 0
         files = self.files().agg(F.count("*").alias("files"), F.max("last_indexed_at").alias("last_indexed_at")).first()
         one = self.entries().agg(F.count("*").alias("entries"))
-        return one.select(F.lit(size).cast("long").alias("stored_bytes"), "entries", F.lit(files["files"]).alias("files"), F.lit(files["last_indexed_at"]).cast("timestamp").alias("last_indexed_at"))
+        return one.select(F.lit(size).cast("long").alias("stored_bytes"), "entries", F.lit(files["files"]).cast("long").alias("files"), F.lit(files["last_indexed_at"]).cast("timestamp").alias("last_indexed_at"))
 
     # Searching.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import client_ip, text
@@ -15,10 +15,10 @@ from tidelog.plans.access_log import access_log, events, oracle
 from tidelog.plans.predicate import classify_keyword, to_predicate
 from tidelog.operators.store import LogStore, index_state
 from tidelog.plans.request import SearchRequest
-from tidelog.sources.files import LogSource
+from tidelog.sources.files import LogSource, index_order, list_log_files, prefix_digests
 from tidelog.sources.w3c import read_w3c
 from tidelog.storage import filesystem, fresh_path
-from tidelog.streaming.tail import live_trend
+from tidelog.streaming.tail import live_trend, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,26 +83,6 @@ _on_log(
 )
 
 # Parsing.
-_on_log(
-    "header_asof_fill",
-    "SELECT line_number, last_value(CASE WHEN line_number % 97 = 3 THEN user_agent END IGNORE NULLS) OVER (ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM log",
-    lambda log: _as_of(log),
-)
-
-
-def _as_of(log: DataFrame) -> DataFrame:
-    """The latest header at or before each line: headers become intervals, and blocks of lines meet the few that touch them."""
-    size = 4096
-    lines = log.select("line_number", F.floor(F.col("line_number") / size).alias("block"))
-    heads = log.where(F.col("line_number") % 97 == 3).select(F.col("line_number").alias("from_line"), F.col("user_agent").alias("header"))
-    local = heads.groupBy(F.floor(F.col("from_line") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("from_line", "header"))).alias("heads"))
-    blocks = lines.select("block").distinct().join(local, "block", "left")
-    before = F.last(F.when(F.size("heads") > 0, F.element_at("heads", -1)), ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    known = blocks.select("block", F.concat(F.coalesce(F.array_compact(F.array(before)), F.array()), F.coalesce("heads", F.array().cast("array<struct<from_line:bigint,header:string>>"))).alias("heads"))
-    joined = lines.join(known, "block")
-    return joined.select("line_number", F.try_element_at(F.filter("heads", lambda h: h["from_line"] <= F.col("line_number")), F.lit(-1))["header"].alias("header"))
-
-
 @_query("tokenize_lines", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '((?:[^\s\x{85}\p{Z}\v"]|"[^"]*(?:"|\z))+)', 1)) AS INTEGER) AS n_tokens FROM documents""")
 def _tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -180,8 +160,10 @@ _on_log(
 _on_log(
     "traffic_summary",
     "SELECT count(*) AS total_requests, count(DISTINCT upper(client_ip)) AS unique_ips, round(count(*) / greatest(1.0::DOUBLE, date_diff('microsecond', min(timestamp_utc), max(timestamp_utc)) / 60000000::DOUBLE), 9) AS requests_per_minute FROM log",
-    lambda log: analyze.analyze_traffic(log).summary.withColumn("requests_per_minute", F.round("requests_per_minute", 9)),
+    lambda log: analyze.traffic_summary(analyze.with_url(log)).withColumn("requests_per_minute", F.round("requests_per_minute", 9)),
 )
+_on_log("traffic_report_top_urls", _top(URL, "url"), lambda log: analyze.analyze_traffic(log).top_urls)
+_on_log("traffic_report_trend", "SELECT date_trunc('hour', timestamp_utc) AS bucket, count(*) AS count FROM log GROUP BY 1", lambda log: analyze.analyze_traffic(log).trend)
 _on_log("traffic_top_urls", _top(URL, "url"), lambda log: analyze.top_by_count(analyze.with_url(log), F.col("url"), "url"))
 _on_log("traffic_top_ips", _top("client_ip", "ip"), lambda log: analyze.top_by_count(log, analyze.address(), "ip"))
 _on_log("traffic_top_agents", _top("user_agent", "user_agent"), lambda log: analyze.top_by_count(log, F.col("user_agent"), "user_agent"))
@@ -235,7 +217,7 @@ FROM (SELECT scanner, CASE WHEN hits > 0 THEN 15 ELSE 0 END + CASE WHEN most > 1
  (SELECT max(sensitive_hits) AS most, bool_or({_SCANS}) AS scanner FROM per_ip))"""
 _on_log("security_score", _with(f"{_MATCHES}, {_PER_IP}", _SCORE), lambda log: security.score(log).select("score", "severity", "likely_scanner"))
 
-# Joins with the file catalogue: one file for every 1000 events.
+# The store's decisions.
 _FILES = "files AS (SELECT event_id // 1000 AS file_id, max(ts) AS last_write, count(*) AS n, max(event_id) AS top FROM events GROUP BY 1)"
 
 
@@ -243,51 +225,6 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000).alias("file_id")).agg(F.max("ts").alias("last_write"), F.count("*").alias("n"), F.max("event_id").alias("top"))
 
 
-def _with_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_log(spark, sf_dir).withColumn("file_id", F.floor(F.col("id") / 1000))
-
-
-@_query("join_entries_files", oracle(_with(_FILES, "SELECT id, file_id, n FROM (SELECT *, id // 1000 AS file_id FROM log) JOIN files USING (file_id)")))
-def _join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_file(spark, sf_dir).select("id", "file_id").join(_files(spark, sf_dir), "file_id").select("id", "file_id", "n")
-
-
-@_query("semi_usable_files", oracle(_with(_FILES, "SELECT id FROM (SELECT *, id // 1000 AS file_id FROM log) l WHERE EXISTS (SELECT 1 FROM files f WHERE f.file_id = l.file_id AND f.file_id % 3 = 0)")))
-def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_file(spark, sf_dir).join(_files(spark, sf_dir).where("file_id % 3 = 0"), "file_id", "left_semi").select("id")
-
-
-@_query("anti_stale_files", oracle(_with(_FILES, "SELECT id FROM (SELECT *, id // 1000 AS file_id FROM log) l WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.file_id = l.file_id AND f.file_id % 3 = 0)")))
-def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_file(spark, sf_dir).join(_files(spark, sf_dir).where("file_id % 3 = 0"), "file_id", "left_anti").select("id")
-
-
-@_query("upsert_insert_or_ignore", oracle("SELECT line_number, min(kind) AS kind FROM (SELECT line_number, 0 AS kind FROM log WHERE line_number <= 700 UNION ALL SELECT line_number, 1 FROM log WHERE line_number > 600) GROUP BY line_number"))
-def _insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = access_log(spark, sf_dir).select("line_number")
-    old, new = log.where("line_number <= 700").withColumn("kind", F.lit(0)), log.where("line_number > 600").withColumn("kind", F.lit(1))
-    return old.unionByName(new.join(old, "line_number", "left_anti"))
-
-
-# The store's decisions.
-_on_log("retention_cleanup", f"SELECT {ROW} FROM log WHERE timestamp_utc IS NULL OR timestamp_utc >= TIMESTAMP '2024-01-20 00:00:00'", lambda log: _columns(log.where("timestamp_utc IS NULL OR timestamp_utc >= TIMESTAMP_NTZ '2024-01-20 00:00:00'")))
-
-
-@_query("fingerprint_prefix_sha256", "SELECT doc_id, sha256(substr(text, 1, 4096)) AS digest FROM documents")
-def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.substring("text", 1, 4096), 256).alias("digest"))
-
-
-_NAME = "'u_ex' || strftime(last_write, '%y%m%d') || '.log'"
-
-
-@_query("index_planner_order", _with(_FILES, f"SELECT file_id, row_number() OVER (ORDER BY strptime(substr({_NAME}, 5, 6), '%y%m%d') DESC, last_write DESC) AS rank FROM files"))
-def _planner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).withColumn("name", F.concat(F.lit("u_ex"), F.date_format("last_write", "yyMMdd"), F.lit(".log")))
-    day = F.try_to_timestamp(F.regexp_extract("name", r"(?i)^u_ex(\d{6})", 1), F.lit("yyMMdd"))
-    return files.select("file_id", F.row_number().over(Window.orderBy(F.desc(day), F.desc("last_write"))).cast("long").alias("rank"))
-
-
 _STATE = "CASE WHEN n = 1000 AND file_id % 4 <> 3 THEN CASE WHEN file_id % 4 = 2 THEN 'Outdated' ELSE 'Indexed' END WHEN file_id % 4 = 1 THEN 'Partial' ELSE 'NotIndexed' END"
 
 
@@ -300,8 +237,6 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_id", index_state().alias("state"))
 
 
-_on_log("db_stats", "SELECT count(*) AS entries, max(timestamp_utc) AS newest, min(timestamp_utc) AS oldest FROM log", lambda log: log.agg(F.count("*").alias("entries"), F.max("timestamp_utc").alias("newest"), F.min("timestamp_utc").alias("oldest")))
-
 # Exports.
 _on_log(
     "export_csv_projection",
@@ -310,47 +245,200 @@ _on_log(
 )
 _on_log("export_json_rows", "SELECT line_number, CAST(to_json({'Status': CAST(status_code AS VARCHAR), 'Method': method, 'ClientIp': client_ip, 'Url': display_url, 'TimeTakenMs': time_taken_ms, 'LineNumber': line_number}) AS VARCHAR) AS json FROM log", lambda log: export.json_rows(log, ("Status", "Method", "ClientIp", "Url", "TimeTakenMs", "LineNumber")))
 
-# Through text and back: the log written as W3C files, some with several headers, and scanned.
-_FIELDS = "#Fields: date time cs-method cs-uri-stem cs-uri-query sc-status time-taken c-ip cs(User-Agent) X-Forwarded-For"
+# Through text and back: the log written as W3C files whose columns change every RUN lines, scanned, indexed, changed, searched and followed.
+RUN, PARTS = 500, 16
+_LAYOUTS = ("date time cs-method cs-uri-stem cs-uri-query sc-status time-taken c-ip cs(User-Agent) X-Forwarded-For", "c-ip cs(User-Agent) time date sc-status X-Forwarded-For cs-uri-stem cs-uri-query cs-method time-taken")
 _SCANNED = "method, uri_stem, uri_query, status_code, time_taken_ms, client_ip, resolved_client_ip, user_agent, timestamp_utc"
 _SCAN_SQL = "SELECT method, uri_stem, uri_query, status_code, time_taken_ms, client_ip, CASE WHEN line_number % 3 = 0 THEN '9.9.9.9' ELSE client_ip END AS resolved_client_ip, user_agent, date_trunc('second', timestamp_utc) AS timestamp_utc FROM log"
+_PART = f"line_number % {PARTS}"
+_NAME = f"'u_ex2401' || lpad(CAST({_PART} + 1 AS VARCHAR), 2, '0') || '.log'"
 
 
-def _written_log(spark: SparkSession, sf_dir: str, only: str = "true") -> str:
-    """The folder of W3C files made from the log's lines that meet ``only``."""
+def _written_log(spark: SparkSession, sf_dir: str, only: str = "true", parts: int = PARTS) -> DataFrame:
+    """``(part, line)`` of the files made from the log's lines that meet ``only``, each file in one partition and in order."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     forwarded = F.when(F.col("line_number") % 3 == 0, '"unknown, 9.9.9.9"').otherwise("-")
     agent = F.concat(F.lit('"'), F.col("user_agent"), F.lit('"'))
-    day = [F.date_format("timestamp_utc", p) for p in ("yyyy-MM-dd", "HH:mm:ss")]
-    line = F.concat_ws(" ", *day, *(value(c) for c in ("method", "uri_stem", "uri_query", "status_code", "time_taken_ms", "client_ip")), agent, forwarded)
-    rows = access_log(spark, sf_dir).where(only).select((F.col("line_number") % 16).alias("part"), F.col("line_number").alias("ord"), line.alias("line"))
-    heads = spark.range(16).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("ord"), F.lit(_FIELDS).alias("line"))
-    path = fresh_path(spark, "w3c")
-    rows.unionByName(heads).repartition(8, "part").sortWithinPartitions("part", "ord").select("line").write.text(path)
-    return path
-
-
-def _scanned(entries: DataFrame) -> DataFrame:
-    return entries.select(*_SCANNED.split(", ")).withColumn("timestamp_utc", F.to_timestamp_ntz(F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss")))
+    day, time = (F.date_format("timestamp_utc", p) for p in ("yyyy-MM-dd", "HH:mm:ss"))
+    method, stem, query, status, taken, ip = (value(c) for c in ("method", "uri_stem", "uri_query", "status_code", "time_taken_ms", "client_ip"))
+    lines = (F.concat_ws(" ", day, time, method, stem, query, status, taken, ip, agent, forwarded), F.concat_ws(" ", ip, agent, time, day, status, forwarded, stem, query, method, taken))
+    run = F.floor(F.col("line_number") / RUN)
+    log = access_log(spark, sf_dir).where(only).withColumns({"part": F.col("line_number") % parts, "run": run})
+    rows = log.select("part", "run", "line_number", F.when(run % 2 == 0, lines[0]).otherwise(lines[1]).alias("line"))
+    heads = log.select("part", "run").distinct().select("part", "run", F.lit(-1).cast("long").alias("line_number"), F.concat(F.lit("#Fields: "), F.when(F.col("run") % 2 == 0, _LAYOUTS[0]).otherwise(_LAYOUTS[1])).alias("line"))
+    return rows.unionByName(heads).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("run", "line_number").select("part", "line")
+
+
+def _write_logs(spark: SparkSession, sf_dir: str, folder: str, only: str = "true", parts: int = PARTS) -> str:
+    """Files ``u_ex2401NN.log`` in ``folder``, one for each part, in place of those that are there."""
+    temp = fresh_path(spark, "w3c")
+    _written_log(spark, sf_dir, only, parts).select("line").write.text(temp)
+    fs, where = filesystem(spark, temp)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(folder))
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            final = path(f"{folder}/u_ex2401{int(name.split('-')[1]) + 1:02d}.log")
+            fs.delete(final, False)
+            fs.rename(status.getPath(), final)
+    return folder
+
+
+def _scanned(entries: DataFrame, *more: str) -> DataFrame:
+    return entries.select(*_SCANNED.split(", "), *more).withColumn("timestamp_utc", F.to_timestamp_ntz(F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss")))
 
 
 @_query("w3c_scan", oracle(_SCAN_SQL))
 def _w3c_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scanned(read_w3c(spark, _written_log(spark, sf_dir)))
+    return _scanned(read_w3c(spark, _write_logs(spark, sf_dir, fresh_path(spark, "logs"))))
 
 
-@_query("store_index_and_search", oracle(f"SELECT * FROM ({_SCAN_SQL}) s WHERE status_code = 500 AND contains(lower(user_agent), 'mozilla')"))
-def _store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("w3c_line_numbers", oracle(f"SELECT line_number + line_number // {RUN} + 1 AS line_number, uri_stem, true AS is_complete_line FROM log"))
+def _w3c_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, read in many blocks: physical numbers and the header in effect (A5, B4, E4)."""
+    folder = _write_logs(spark, sf_dir, fresh_path(spark, "logs"), parts=1)
+    return read_w3c(spark, folder).select("line_number", "uri_stem", "is_complete_line")
+
+
+def _indexed(spark: SparkSession, sf_dir: str, only: str = "true") -> tuple[LogStore, LogSource]:
+    """A store over the written log, all of it indexed."""
     store = LogStore(spark, fresh_path(spark, "store"))
-    folder = _written_log(spark, sf_dir)
-    fs, where = filesystem(spark, folder)
-    for k, status in enumerate(s for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")):
-        fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.log"))
-    source = store.save_source(LogSource(folder))
+    source = store.save_source(LogSource(_write_logs(spark, sf_dir, fresh_path(spark, "logs"), only)))
     store.index(source)
+    return store, source
+
+
+@_query("store_index_and_search", oracle(f"SELECT * FROM ({_SCAN_SQL}) s WHERE status_code = 500 AND contains(lower(user_agent), 'mozilla')"))
+def _store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, source = _indexed(spark, sf_dir)
     return _scanned(store.search(SearchRequest(source=source, status_code=500, user_agent_contains="mozilla", max_results=None)))
 
 
+@_query("store_files", oracle(f"SELECT {_NAME} AS file_name, count(*) + count(DISTINCT line_number // {RUN}) AS physical_lines, count(*) + count(DISTINCT line_number // {RUN}) AS indexed_line_count, true AS is_fully_indexed, 'Indexed' AS state FROM log GROUP BY {_PART}"))
+def _store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, source = _indexed(spark, sf_dir)
+    return store.file_states(source).select("file_name", "physical_lines", "indexed_line_count", "is_fully_indexed", "state")
+
+
+@_query("join_entries_files", oracle(f"SELECT {_NAME} AS file_name, count(*) AS entries FROM log GROUP BY {_PART}"))
+def _join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _indexed(spark, sf_dir)
+    return store.entries().join(store.files().select("file_id", "file_name"), "file_id").groupBy("file_name").agg(F.count("*").alias("entries"))
+
+
+@_query("store_stats", oracle(f"SELECT count(*) AS entries, count(DISTINCT {_PART}) AS files FROM log"))
+def _store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir)[0].stats().select("entries", "files")
+
+
+@_query("retention_cleanup", oracle(f"SELECT * FROM ({_SCAN_SQL}) s WHERE timestamp_utc >= TIMESTAMP '2024-01-20 00:00:00'"))
+def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _indexed(spark, sf_dir)
+    store.cleanup(10, datetime(2024, 1, 30, tzinfo=UTC))
+    return _scanned(store.entries())
+
+
+@_query("index_planner_order", oracle(f"SELECT file_name, row_number() OVER (ORDER BY file_name DESC) AS rank FROM (SELECT DISTINCT {_NAME} AS file_name FROM log)"))
+def _planner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = index_order(list_log_files(spark, LogSource(_write_logs(spark, sf_dir, fresh_path(spark, "logs")))))
+    return spark.createDataFrame([(f.name, k) for k, f in enumerate(files, 1)], "file_name string, rank long")
+
+
+_LINE = """CASE WHEN line_number // {run} % 2 = 0
+ THEN concat_ws(' ', strftime(timestamp_utc, '%Y-%m-%d %H:%M:%S'), method, uri_stem, coalesce(uri_query, '-'), status_code, time_taken_ms, client_ip, '"' || user_agent || '"', CASE WHEN line_number % 3 = 0 THEN '"unknown, 9.9.9.9"' ELSE '-' END)
+ ELSE concat_ws(' ', client_ip, '"' || user_agent || '"', strftime(timestamp_utc, '%H:%M:%S %Y-%m-%d'), status_code, CASE WHEN line_number % 3 = 0 THEN '"unknown, 9.9.9.9"' ELSE '-' END, uri_stem, coalesce(uri_query, '-'), method, time_taken_ms) END""".format(run=RUN)
+_CONTENT = f"""SELECT part, string_agg(line || chr(10), '' ORDER BY run, line_number) AS content FROM (
+ SELECT {_PART} AS part, line_number // {RUN} AS run, line_number, {_LINE} AS line FROM log
+ UNION ALL SELECT DISTINCT {_PART}, line_number // {RUN}, -1, '#Fields: ' || CASE WHEN line_number // {RUN} % 2 = 0 THEN '{_LAYOUTS[0]}' ELSE '{_LAYOUTS[1]}' END FROM log) GROUP BY part"""
+
+
+@_query("fingerprint_prefix_sha256", oracle(f"SELECT 'u_ex2401' || lpad(CAST(part + 1 AS VARCHAR), 2, '0') || '.log' AS file_name, sha256(substr(content, 1, 4096)) AS digest FROM ({_CONTENT})"))
+def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = list_log_files(spark, LogSource(_write_logs(spark, sf_dir, fresh_path(spark, "logs"))))
+    digests = prefix_digests(spark, [(f.path, f.size) for f in files])
+    return spark.createDataFrame([(f.name, digests[f.path]) for f in files], "file_name string, digest string")
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> tuple[LogStore, LogSource]:
+    """A store of which every file has grown since it was indexed."""
+    store, source = _indexed(spark, sf_dir, f"line_number < {_grown_from(spark, sf_dir)}")
+    _write_logs(spark, sf_dir, source.path)
+    return store, source
+
+
+def _grown_from(spark: SparkSession, sf_dir: str) -> int:
+    """The first line of the second half."""
+    return events(spark, sf_dir).count() // 2
+
+
+_HALF = "(SELECT count(*) // 2 FROM events)"
+
+
+@_query("hybrid_grown_files", oracle(_SCAN_SQL.replace(" FROM log", f", line_number < {_HALF} AS is_indexed FROM log")))
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows and the tails of files that have grown, each line once (A6, G1, E7)."""
+    store, source = _grown(spark, sf_dir)
+    return _scanned(store.search_frame(SearchRequest(source=source)), "is_indexed")
+
+
+@_query("index_grown_files", oracle(_SCAN_SQL))
+def _index_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed twice, the second time from the checkpoints on: insert or ignore (E9, L1, L4, L5)."""
+    store, source = _grown(spark, sf_dir)
+    store.index(source)
+    store.index(source)
+    return _scanned(store.entries())
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[LogStore, LogSource]:
+    """A store of which every third file was written anew without its first lines."""
+    store, source = _indexed(spark, sf_dir)
+    _write_logs(spark, sf_dir, source.path, f"line_number % {PARTS} % 3 <> 0 OR line_number >= 40")
+    return store, source
+
+
+@_query("semi_usable_files", oracle(f"SELECT * FROM ({_SCAN_SQL} WHERE {_PART} % 3 <> 0) s"))
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files that still are what was indexed; their times are put back, as only their contents are the same."""
+    store, source = _changed(spark, sf_dir)
+    _keep_times(spark, store, source)
+    return _scanned(store.search_frame(SearchRequest(source=source)).where("is_indexed"))
+
+
+@_query("anti_stale_files", oracle(f"SELECT * FROM ({_SCAN_SQL} WHERE {_PART} % 3 = 0 AND line_number >= 40) s"))
+def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files whose beginning changed, read anew (E8, L2)."""
+    store, source = _changed(spark, sf_dir)
+    _keep_times(spark, store, source)
+    return _scanned(store.search_frame(SearchRequest(source=source)).where("NOT is_indexed"))
+
+
+def _keep_times(spark: SparkSession, store: LogStore, source: LogSource) -> None:
+    for r in store.file_states(source).collect():
+        fs, path = filesystem(spark, r["full_path"])
+        fs.setTimes(path, int(r["last_write_utc"].timestamp() * 1000), -1)
+
+
+@_query("index_reset_files", oracle(f"SELECT * FROM ({_SCAN_SQL} WHERE {_PART} % 3 <> 0 OR line_number >= 40) s"))
+def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed again after some files changed: those are reset and read anew (L3)."""
+    store, source = _changed(spark, sf_dir)
+    store.index(source)
+    return _scanned(store.entries())
+
+
+@_query("stream_tail", oracle(f"SELECT * FROM ({_SCAN_SQL} WHERE line_number >= {_HALF}) s"))
+def _stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was appended since the store's checkpoints, as a stream (K1 to K7)."""
+    store, source = _grown(spark, sf_dir)
+    name = f"tail_{uuid.uuid4().hex}"
+    query = tail(spark, source, store).writeStream.format("memory").queryName(name).option("checkpointLocation", fresh_path(spark, "stream")).start()
+    query.processAllAvailable()
+    query.stop()
+    return _scanned(spark.table(name))
+
+
 @_query("stream_live_trend", oracle("SELECT date_trunc('hour', timestamp_utc) AS bucket, count(*) AS count FROM log GROUP BY 1"))
 def _stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly trend as a stream that has read all there is."""
