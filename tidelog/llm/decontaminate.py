@@ -8,8 +8,8 @@ match the one with most matches is kept where these number ``least_words`` or ``
 item, whichever is less.
 
 The benchmark is broken into blocks of about ``block_words`` words. Each block's seeds are sent to
-the executors, and the texts are passed over once a block, so no text is shuffled and what is sent
-never outgrows the block. Items with the same words are one item, named by the least id.
+the executors, and the texts' word hashes are passed over once a block, written first where there are several, so no text is shuffled and what is sent
+never outgrows the block. Hits are taken up in bounded pieces, however many items share a seed. Items with the same words are one item, named by the least id.
 
 Light masks, chosen by enumeration, see to it that at the default limits no overlay goes without a hit;
 overlays with too few matches in all are ruled out together before any is looked at.
@@ -17,7 +17,7 @@ overlays with too few matches in all are ruled out together before any is looked
 Defined results: null and blank texts match nothing; items of fewer than ``shortest`` words
 are not searched; items of fewer than VERBATIM words are sought word for word; repeated rows are reported
 each; null item ids and null document ids are reported as such, and a document that matches an item without an id goes;
-an empty benchmark or an empty table gives no rows.
+an empty benchmark or an empty table gives no rows; long texts are searched whole, one at a time beyond CHUNK words; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import each_batch
+from tidelog.llm.common import durable, each_batch
 from tidelog.llm.tokens import CHUNK, SeedTable, flat, pieces, seed_hashes, word_hashes
 
 #: Words that count (1) and words that are ignored (0).
@@ -67,7 +67,7 @@ def best_stretch(same: np.ndarray, least_identity: float = 0.7) -> tuple[int, in
 class Block:
     """A bounded part of the benchmark with its seed tables."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS, shortest: int = 5):
+    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS, shortest: int = 1):
         items = [(i, w) for i, w in items if len(w) >= shortest]
         self.ids, words = [i for i, _ in items], [w for _, w in items]
         self.sizes = np.array([len(w) for w in words], np.int64)
@@ -92,10 +92,10 @@ class Block:
         longest = int(self.sizes.max(initial=0))
         width, n = len(hashes) + longest + 1, len(self.sizes)
         for mask, table in self.tables:
-            where, item, at = table.hits(seed_hashes(hashes, mask))
-            row = np.searchsorted(offsets, where, "right") - 1
-            inside = where + mask[-1] < offsets[row + 1]  # a seed may not reach into the next text
-            found.append(np.unique(((row * n + item) * width + where - at + longest)[inside]))
+            for where, item, at in table.hits(seed_hashes(hashes, mask)):
+                row = np.searchsorted(offsets, where, "right") - 1
+                inside = where + mask[-1] < offsets[row + 1]  # a seed may not reach into the next text
+                found.append(np.unique(((row * n + item) * width + where - at + longest)[inside]))
         keys = np.unique(np.concatenate(found))
         pairs, start = keys // width, keys % width - longest
         row, item = pairs // max(n, 1), pairs % max(n, 1)
@@ -128,22 +128,26 @@ class Block:
             yield row, self.ids[item], matched, -size, int(self.sizes[item]), -a, b
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text: str, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The distinct items, block by block; each brought to the driver alone."""
+def _items(benchmark: DataFrame, item_col: str, text: str, block_words: int) -> tuple[DataFrame, int]:
+    """``(item_id, words)`` and the number of blocks to break it into."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col(text)).alias("words"))
-    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    n = -(-total // block_words)
+    return items, -(-items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // block_words)
+
+
+def _blocks(items: DataFrame, n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The distinct items, block by block; each brought to the driver alone."""
     for k in range(n):
         got = items.where(F.pmod(F.hash("words"), F.lit(n)) == k).groupBy("words").agg(F.min("item_id").alias("item_id")).toArrow()
         yield sorted(((i.as_py(), np.array(w.as_py(), np.int64).view(np.uint64)) for w, i in zip(got.column(0), got.column(1), strict=True)), key=lambda x: (x[0] is None, x[0] or 0))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 1, block_words: int = 2_000_000) -> DataFrame:
     """``(id, item_id, matched, overlap, item_words, start_word, stop_word)``, one row per text and item that overlap."""
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t, _ in OUT)])
     rows = docs.select(F.col(id_col), word_hashes(F.col(text)).alias("words"))
-    found = []
-    for items in _blocks(benchmark, item_col, item_text, block_words):
+    known, n = _items(benchmark, item_col, item_text, block_words)
+    rows, found = durable(rows, "word-hashes") if n > 1 else rows, []
+    for items in _blocks(known, n):
         block = Block(items, shortest=shortest)
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
@@ -174,10 +178,10 @@ def _cleanness(block: Block, *limits: float) -> Callable[[pa.Array], pa.Array]:
     return clean
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 5, block_words: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 13, least_share: float = 0.7, least_identity: float = 0.7, shortest: int = 1, block_words: int = 2_000_000) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text overlaps no benchmark item. Only word hashes go to Python, and no row is shuffled."""
     kept = docs
-    for items in _blocks(benchmark, item_col, item_text, block_words):
+    for items in _blocks(*_items(benchmark, item_col, item_text, block_words)):
         clean = _cleanness(Block(items, shortest=shortest), least_words, least_share, least_identity)
         kept = kept.where(F.arrow_udf(clean, "boolean")(word_hashes(F.col(text))))
     return kept

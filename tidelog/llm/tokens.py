@@ -63,14 +63,15 @@ class SeedTable:
         self.seeds, self.texts, self.at = seeds[order], texts[order], at[order]
         self.bits: np.ndarray | None = None  # made where it is used, not sent
 
-    def hits(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position in ``seeds``, text and position in it, for every match."""
+    def hits(self, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Position in ``seeds``, text and position in it, for every match, in pieces of about CHUNK."""
         if self.bits is None:
             self.bits = np.zeros(1 << self.BITS, bool)
             self.bits[self.seeds >> np.uint64(64 - self.BITS)] = True
         maybe = np.flatnonzero(self.bits[seeds >> np.uint64(64 - self.BITS)])
         low, high = np.searchsorted(self.seeds, seeds[maybe], "left"), np.searchsorted(self.seeds, seeds[maybe], "right")
         n = high - low
-        where = np.repeat(maybe, n)
-        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return where, self.texts[pick], self.at[pick]
+        for a, b in pieces(np.concatenate(([0], np.cumsum(n)))):
+            m = n[a:b]
+            pick = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[a:b], m)
+            yield np.repeat(maybe[a:b], m), self.texts[pick], self.at[pick]
