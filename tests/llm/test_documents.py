@@ -272,11 +272,13 @@ def test_leaks(spark):
     ]
     docs = frame(spark, clean + rows)
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_overlaps(docs, bench).collect()}
-    assert set(got) == {(100, 0), (101, 1), (102, 2), (103, 3), (None, 0)}
+    assert set(got) == {(100, 0), (101, 1), (102, 2), (103, 3), (104, 4), (None, 0)}
+    longer = decontaminate.find_overlaps(docs, bench, shortest=5)
+    assert {(r["doc_id"], r["item_id"]) for r in longer.collect()} == set(got) - {(104, 4)}
     r = got[101, 1]
     assert (r["matched"], r["overlap"], r["item_words"], r["start_word"], r["stop_word"]) == (22, 25, 25, 50, 75)
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 4, 104, 105, 106, 107, 108}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 4, 105, 106, 107, 108}
     in_blocks = decontaminate.find_overlaps(docs, bench, block_words=30)
     assert {(r["doc_id"], r["item_id"]) for r in in_blocks.collect()} == set(got)
     assert decontaminate.find_overlaps(docs.limit(0), bench).count() == 0
@@ -363,6 +365,16 @@ def test_items_without_an_id(spark):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
 
 
+def test_hits_come_in_bounded_pieces(monkeypatch):
+    """A seed that many items share is expanded a piece at a time; all of its matches come."""
+    monkeypatch.setattr(tokens, "CHUNK", 50)
+    seeds = np.full(300, 7 << 60, np.uint64)
+    table = tokens.SeedTable(seeds, np.arange(300), np.zeros(300, np.int64))
+    got = list(table.hits(np.array([7 << 60, 5, 7 << 60], np.uint64)))
+    assert sorted(zip(*map(np.ndarray.tolist, (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))), strict=True)) == [(k, t) for k in (0, 2) for t in range(300)]
+    assert all(len(g[0]) <= 300 for g in got) and len(got) == 2
+
+
 def test_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", 10)
     offsets = np.array([0, 4, 8, 40, 41, 41, 50])
@@ -400,6 +412,31 @@ def test_notices_on_consecutive_lines(name, copies):
     assert found == (0, 1.0, [(n, 1 + k * n, 1 + (k + 1) * n) for k in range(copies)])
 
 
+def test_altered_notices_are_found():
+    """Templates with a tenth of the words substituted or left out, among other words: nearly all are found, with their spans."""
+    rng = random.Random(21)
+    names = sorted(license_scan.TEMPLATES)
+    code = {}
+    words = [np.array([code.setdefault(w.lower(), rng.getrandbits(64)) for w in license_scan.WORD.findall(license_scan.TEMPLATES[n])], np.uint64) for n in names]
+    scanner = license_scan.Scanner(names, words, 0.8)
+    tried = found = 0
+    for t, w in enumerate(words):
+        for _ in range(6):
+            altered, matched = [], 0
+            for x in w.tolist():
+                fate = rng.random()
+                matched += fate >= 0.1
+                altered += [x] if fate >= 0.1 else [rng.getrandbits(64)] if fate < 0.05 else []
+            if matched < 0.84 * len(w):
+                continue
+            before, after = ([rng.getrandbits(64) for _ in range(rng.randrange(60))] for _ in range(2))
+            text = np.array([*before, *altered, *after], np.uint64)
+            got = {k: spans for k, _, spans in scanner.scan(text, np.array([0, len(text)])).get(0, [])}
+            tried += 1
+            found += t in got and abs(got[t][0][1] - len(before)) <= 3 and abs(got[t][0][2] - len(before) - len(altered)) <= 3
+    assert tried > 60 and found / tried >= 0.9
+
+
 def test_banded_alignment_equals_a_full_one():
     """Within the band, the best local alignment's score by the full table."""
     rng = random.Random(3)

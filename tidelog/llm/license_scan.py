@@ -3,13 +3,14 @@
 Templates are cut into shingles of three words; of every window of neighbouring shingle hashes the
 least is kept (winnowing), and the kept hashes form an inverted index to (template, position). All
 shingles of a text are looked up in the index, so any run of ``SHINGLE + WINDOW - 1`` words that a
-text shares with a template is found. Hits that lie on close diagonals mark a region, and a banded
+text shares with a template is found. Hits that lie on close diagonals mark a region if there are as many as the
+least coverage leaves a template at least, and a banded
 local alignment of template and region, word by word, gives the matched words and the span. A
 template is reported where at least ``least_coverage`` of its words match in one span.
 
 Defined results: null and blank texts match nothing; repeated rows are reported each; templates of
 fewer words than a shingle are refused; spans of one template in one text do not overlap, the
-better one stays and ties go to the earlier; an empty table gives no rows.
+better one stays and ties go to the earlier; an empty table gives no rows; long texts are scanned whole; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -43,6 +45,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.',
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
@@ -97,10 +100,7 @@ class Scanner:
 
     def scan(self, hashes: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple]]:
         """Row to (template, coverage, spans of (matched, start word, stop word))."""
-        where, text, at = self.index.hits(seed_hashes(hashes, self.mask))
-        row = np.searchsorted(offsets, where, "right") - 1
-        inside = where + SHINGLE <= offsets[row + 1]
-        keys = np.unique(np.stack((row, text, where - at - offsets[row]))[:, inside], axis=1).T.tolist()
+        keys = self._regions(hashes, offsets)
         found: dict[int, dict[int, list]] = {}
         done: tuple | None = None
         for r, t, diagonal in keys:
@@ -114,6 +114,33 @@ class Scanner:
                 found.setdefault(r, {}).setdefault(t, []).append((matched, low + start, low + stop))
         return {r: [(t, max(s)[0] / len(self.words[t]), _apart(s)) for t, s in sorted(by.items())] for r, by in found.items()}
 
+    def _regions(self, hashes: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+        """(row, template, diagonal), sorted, of the hits with enough others of their template near their diagonal.
+
+        Each of the words that differ spoils ``SHINGLE`` shingles and ends a run; of a run of L whole ones at
+        least ``L // WINDOW`` are kept in the index.
+        """
+        found = [np.empty((4, 0), np.int64)]
+        for where, text, at in self.index.hits(seed_hashes(hashes, self.mask)):
+            row = np.searchsorted(offsets, where, "right") - 1
+            inside = where + SHINGLE <= offsets[row + 1]
+            part, n = np.unique(np.stack((row, text, where - at - offsets[row]))[:, inside], axis=1, return_counts=True)
+            found.append(np.concatenate((part, n[None])))
+        both = np.concatenate(found, axis=1)
+        keys, which = np.unique(both[:3], axis=1, return_inverse=True)
+        if not keys.shape[1]:
+            return []
+        n = np.bincount(which.ravel(), both[3]).astype(np.int64)
+        reach = BAND + BAND // 2
+        width = int(np.ptp(keys[2])) + 2 * reach + 2
+        line = (keys[0] * len(self.names) + keys[1]) * width + keys[2] - keys[2].min()
+        total = np.concatenate(([0], np.cumsum(n)))
+        near = total[np.searchsorted(line, line + reach, "right")] - total[np.searchsorted(line, line - reach, "left")]
+        size = np.array([len(w) for w in self.words])
+        differ = np.floor((1 - self.least) * size + 1e-9)
+        need = np.maximum(1, np.floor((size - SHINGLE + 1 - SHINGLE * differ - (WINDOW - 1) * (differ + 1)) / WINDOW))
+        return keys[:, near >= need[keys[1]]].T.tolist()
+
     def _all_aligned(self, t: int, region: tuple[int, ...], shift: int) -> Iterator[tuple[int, int, int]]:
         """The best alignment, and those on both sides of it, as long as they reach the coverage."""
         least, todo = self.least * len(self.words[t]), [(0, len(region))]
