@@ -1,4 +1,4 @@
-"""The registered queries against their SQL, and each pipeline stage against a plain restatement."""
+"""The registered queries against their SQL, and each pipeline stage against its operator's own scores."""
 
 import os
 
@@ -55,7 +55,7 @@ def test_stages(spark):
     assert ids(model(spark, docs, SF)) == ids(scored.where("score >= 0.3"))
     found = simhash.near_duplicates(docs)
     assert ids(dedup(spark, docs, SF)) == sorted({r["component_id"] for r in found.collect()})
-    leaks = ids(decontaminate.find_overlaps(docs, spark.read.parquet(f"{SF}/benchmark.parquet")))
+    leaks = ids(decontaminate.find_overlaps(docs, spark.read.parquet(f"{SF}/benchmark.parquet")))  # items of any length
     assert leaks and ids(clean(spark, docs, SF)) == [i for i in ids(docs) if i not in set(leaks)]
     result = mixed(spark, docs, SF)
     assert set(docs.columns) < set(result.columns) and set(ids(result)) <= set(ids(docs))
@@ -68,4 +68,15 @@ def test_stages_take_empty_tables(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The whole pipeline, against its stages one after the other on tables in memory."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF).collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == want.columns
+    found = sorted(tuple(r) for r in got.select("doc_id", "replica", "shuffle_key").collect())
+    assert found and found == sorted(tuple(r) for r in want.select("doc_id", "replica", "shuffle_key").collect())
+    keys = [r["shuffle_key"] for r in got.collect()]
+    assert keys == sorted(keys)

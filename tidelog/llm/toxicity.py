@@ -43,7 +43,7 @@ BITS = 20
 #: Standard errors of lift, and the bias below which the loss is too flat for steps.
 LIFT, FLOOR = 5.0, -3.0
 #: Different reduced texts that the driver may hold, and tasks that add up a step's gradient beyond that.
-LOCAL_PATTERNS, STEP_TASKS = 500_000, 64
+LOCAL_PATTERNS, STEP_TASKS = 200_000, 64
 
 
 def features(text: Column) -> Column:
