@@ -170,7 +170,7 @@ REQUESTS = [
     SearchRequest(time_to=timedelta(hours=10, seconds=20)),
     SearchRequest(method="post"),
     SearchRequest(status_code=404),
-    SearchRequest(client_ip="10.0.0.1"),
+    SearchRequest(client_ip="1.2.3.4"),
     SearchRequest(url_contains="page/1"),
     SearchRequest(user_agent_contains="mozilla"),
     SearchRequest(min_time_taken_ms=30),
@@ -195,7 +195,7 @@ def test_raw_stored_and_mixed_searches_agree(spark, place):
         return got
 
     raw = lines()
-    assert [len(x) for x in raw] == [6, 31, 30, 21, 30, 1, 11, 10, 60, 30, 16, 0]
+    assert [len(x) for x in raw] == [6, 31, 30, 21, 30, 1, 60, 10, 60, 30, 16, 0]
     store.index(source)
     assert lines() == raw
     append(folder, LINE.format(1, 1))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The sample's directives; the last names its columns.
+#: The sample's directives, the last of which names its columns, and its server, client and agent.
 DIRECTIVES = (
-    "#Software: sample",
+    "#Software: Microsoft Internet Information Services 10.0",
     "#Version: 1.0",
-    "#Date: 2026-08-28 10:00:00",
+    "#Date: 2026-08-28 00:00:00",
     "#Fields: date time s-ip cs-method cs-uri-stem cs-uri-query s-port cs-username c-ip cs(User-Agent) cs(Referer) sc-status sc-substatus sc-win32-status time-taken sc-bytes cs-bytes",
 )
+SERVER, CLIENT, AGENT = "10.0.0.1", "1.2.3.4", "Mozilla/5.0 (Windows NT 10.0; Win64; x64)"
 
 
 def sample_lines(spark: SparkSession, n: int, keyword: str = "/api/order") -> DataFrame:
@@ -23,13 +24,11 @@ def sample_lines(spark: SparkSession, n: int, keyword: str = "/api/order") -> Da
         " ",
         F.lit("2026-08-28"),
         F.concat(F.lit("10:"), pad(F.floor(i / 60) % 60), F.lit(":"), pad(i % 60)),
-        F.lit("192.168.1.1"),
+        F.lit(SERVER),
         F.when(i % 2 == 0, "GET").otherwise("POST"),
         F.when(i % 10 == 0, keyword).otherwise(F.concat(F.lit("/page/"), text(i))),
         F.when(i % 3 == 0, "id=1").otherwise("-"),
-        F.lit("443 -"),
-        F.concat(F.lit("10.0."), text(F.floor(i / 256) % 256), F.lit("."), text(i % 256)),
-        F.lit('"Mozilla/5.0 (Windows NT 10.0)" -'),
+        F.lit(f'443 - {CLIENT} "{AGENT}" -'),
         F.when(i % 100 == 0, "404").otherwise("200"),
         F.lit("0 0"),
         text(i % 5000),
