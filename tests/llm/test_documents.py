@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -689,3 +690,31 @@ def test_distribution_is_poisson(spark):
         got = spark.range(1).select(mixing._distribution(F.lit(mean)).alias("c")).first()["c"]
         want = np.cumsum([exp(-mean) * mean**k / factorial(k) for k in range(111)])
         assert np.allclose(got, want[: len(got)], atol=1e-12) and (len(got) == 111 or want[len(got)] > 1 - 1e-14)
+
+
+def test_a_text_of_a_million_words(spark):
+    """Nothing is cut: measures, fingerprint, notices, leaks, language and scores heed the last words as well."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(400_000)}" for _ in range(1_000_000)]
+    notice, item = "Released under the MIT License.", "one rare passage that ends the text and stands nowhere else in it at all"
+    text = " ".join(words) + f"\n{notice}\n{item}"
+    docs = frame(spark, [(1, text, "en", "a"), (2, prose(rng, 80), "en", "a"), (3, "", None, None)])
+    got = {r["row"]["doc_id"]: r for r in quality_rules.score_rules(docs).collect()}[1]
+    every = WORD.findall(text)
+    grams = list(zip(every, every[1:], every[2:], strict=False))
+    often = Counter(grams)
+    again = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(3)}
+    assert tuple(got["measures"][:5]) == (len(every), sum(map(len, every)), 0, 0, len(again))
+    totals = np.zeros(64, np.int64)
+    for g in grams:
+        totals += np.unpackbits(np.array([xxhash.xxh64_intdigest(" ".join(g).lower(), 42)], ">u8").view(np.uint8))
+    want = sum(1 << (63 - k) for k in range(64) if 2 * totals[k] > len(grams))
+    prints = {r["doc_id"]: r["fp"] for r in simhash.near_duplicates(docs, words=3, similarity=None).collect()}
+    assert prints[1] % (1 << 64) == want
+    found = license_scan.scan_licenses(docs).collect()
+    assert [(r["doc_id"], r["license"], r["spans"][0]["stop_word"]) for r in found] == [(1, "MIT", 1_000_005)]
+    leaks = decontaminate.find_overlaps(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"], r["stop_word"]) for r in leaks] == [(1, 7, len(item.split()), len(every))]
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}[1] == "en"
+    labels = spark.createDataFrame([(k, 1, 0) for k in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    assert quality_model.score_quality(docs, labels).count() == toxicity.score_toxicity(docs, labels).count() == 3

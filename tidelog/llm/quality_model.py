@@ -9,7 +9,8 @@ Cholesky factors are computed once and cached in the model.
 
 Defined results: a null text counts as empty and is scored like any text; repeated rows score
 alike; ids that are null are scored but never train; labels that contradict one another
-are ignored. If a class has no training row, every score is the add-one share of class 1.
+are ignored. If a class has no training row, every score is the add-one share of class 1. A score equal to the
+threshold is kept; long texts are measured whole; an empty table gives no rows; only the id, the text and the label are read, other columns may have any name.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Each rule bounds one ratio of two measures. Ratios are compared as integers
 (``100 * part`` against ``percent * whole``), so every engine reaches the same verdict.
 
 Defined results: a null text counts as empty; empty texts have zero in every measure and are
-rejected by the length rule; repeated rows are judged each on its own; other columns of the
+rejected by the length rule; a ratio equal to its bound passes; long texts are measured whole; repeated rows are judged
+each on its own; a null id is carried along; an empty table gives no rows; other columns of the
 input pass through ``keep_good`` untouched and never collide with the measures, which live
 in one struct until they are selected.
 """
