@@ -64,8 +64,10 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out, full = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[full])
+    return out
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -195,7 +197,8 @@ class _Patterns:
     def __init__(self, patterns: DataFrame, size: int):
         self.frame, self.size, self.rows = patterns, size, None
         if patterns.count() <= LOCAL_PATTERNS:
-            self.rows = Rows(*_collected(patterns.select("places")), patterns.select("n").toArrow().column(0).to_numpy().astype(float))
+            places, offsets = _collected(patterns.select("places"))
+            self.rows = Rows(places.astype(np.intp), offsets, patterns.select("n").toArrow().column(0).to_numpy().astype(float))
 
     def _summed(self, f: Callable[[Rows], np.ndarray], width: int) -> np.ndarray:
         if self.rows is not None:
@@ -215,11 +218,21 @@ class _Patterns:
 
     def scored(self, w: np.ndarray, biases: np.ndarray) -> np.ndarray:
         """The sum of the scores under each of ``biases``."""
-        return self._summed(lambda rows: np.array([rows.counts @ _squash(rows.logits(w, b)) for b in biases]), len(biases))
+
+        def sums(rows: Rows) -> np.ndarray:
+            z = rows.logits(w, 0.0)
+            return np.array([rows.counts @ _squash(z + b) for b in biases])
+
+        return self._summed(sums, len(biases))
 
     def reaching(self, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Texts whose logit without bias reaches each of ``cuts``."""
-        return self._summed(lambda rows: np.array([rows.counts[rows.logits(w, 0.0) >= c].sum() for c in cuts], float), len(cuts))
+
+        def sums(rows: Rows) -> np.ndarray:
+            z = rows.logits(w, 0.0)
+            return np.array([rows.counts[z >= c].sum() for c in cuts], float)
+
+        return self._summed(sums, len(cuts))
 
 
 @dataclass(frozen=True)
