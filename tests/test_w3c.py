@@ -1,5 +1,7 @@
 """Scanning logs: headers, line numbers, values, addresses, blocks and incomplete lines."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,16 @@ def test_recursive_reads_names_of_any_case(spark, tmp_path):
         (tmp_path / name).write_text("#Fields: date cs-uri-stem\n2024-01-01 /x\n")
     found = read_w3c(spark, str(tmp_path), recursive=True).select("source_path").collect()
     assert sorted(r[0].rsplit("/", 1)[1] for r in found) == ["B.LOG", "a.log", "c.Log"]
+
+
+def test_headers_every_few_lines(spark, tmp_path):
+    """60 000 lines under 20 000 headers: each line is compared with the headers around it, not with all of its block."""
+    def run(k):
+        names, values = (("cs-uri-stem sc-status", "/{} {}") if k % 2 == 0 else ("sc-status cs-uri-stem", "{1} /{0}"))
+        return "".join((f"#Fields: {names}\n", *(values.format(3 * k + i, 200 + i) + "\n" for i in range(3))))
+
+    path, n = log(tmp_path, "/early 1\n" + "".join(run(k) for k in range(20_000))), 60_000
+    began = time.monotonic()
+    got = rows(spark, path, "line_number", "uri_stem", "status_code")
+    assert got == [(2 + i // 3 + 1 + i, f"/{i}", 200 + i % 3) for i in range(n)]
+    assert time.monotonic() - began < 60

@@ -5,7 +5,8 @@ of a file to its number of lines and the headers in it. From that small table fo
 block, the number of lines before it and the headers that may be in effect in it. The second pass
 joins it to the lines by file and block, so that a file of any size is read by as many tasks as
 it has blocks, and no line is shuffled while the table may be broadcast: some 150 bytes a block, up to
-BROADCAST_BLOCKS of them (a hundred terabytes in blocks of 128 MB). Beyond that the join shuffles.
+BROADCAST_BLOCKS of them (a hundred terabytes in blocks of 128 MB). Beyond that the join shuffles. Where a block has
+more than FEW_HEADERS headers, its lines meet them by a second small table, that of the stretches they hold in.
 
 Both passes must cut the files into the same blocks. Spark cuts them by its session's settings and the cores it
 has when a job starts, so the scan lives in a session of its own, whose split size is fixed when the scan is
@@ -52,8 +53,10 @@ SLOTS = {
     "forwarded_for": ("xforwardedfor", "forwardedfor"),
     "real_client_ip": ("xrealip", "realip"),
 }
-#: Blocks, and distinct headers, up to which their tables are broadcast.
+#: Blocks or stretches of them, and distinct headers, up to which their tables are broadcast.
 BROADCAST_BLOCKS, BROADCAST_HEADERS = 1_000_000, 20_000
+#: Headers that each line of a block is compared with; blocks with more are cut into stretches of STRETCH lines at least.
+FEW_HEADERS, STRETCH = 8, 32
 _NAMED = [n for names in SLOTS.values() for n in names]
 _INTS = ("server_port", "status_code", "sub_status_code", "win32_status", "time_taken_ms")
 _LONGS = ("bytes_sent", "bytes_received")
@@ -204,6 +207,18 @@ def scan_blocks(spark: SparkSession, lines: DataFrame) -> DataFrame:
     )
 
 
+def header_stretches(marked: DataFrame) -> DataFrame:
+    """``(first_seq, stretch, near)`` for blocks with a ``width``: the headers that hold in some of each ``width`` lines, at most three rows a header.
+
+    Headers may change every few lines. So a line meets those of its stretch, about one on average, and not all those of its block.
+    """
+    last = F.col("first_seq") + F.col("n") - 1
+    spans = F.transform("known", lambda h, i: F.struct(h["seq"].alias("seq"), h["held"].alias("held"), F.greatest(h["seq"] + 1 - F.col("first_seq"), F.lit(0)).alias("a"), (F.coalesce(F.get("known", i + 1)["seq"], last) - F.col("first_seq")).alias("b")))
+    rows = marked.where("width IS NOT NULL").select("first_seq", "width", F.explode(spans).alias("h")).where("h.a <= h.b")
+    rows = rows.select("first_seq", F.explode(F.expr("sequence(h.a div width, h.b div width)")).alias("stretch"), F.struct("h.seq", "h.held").alias("h"))
+    return rows.groupBy("first_seq", "stretch").agg(F.sort_array(F.collect_list("h")).alias("near"))
+
+
 def number_lines(lines: DataFrame, blocks: DataFrame, ip_priority: Sequence[str], include_additional: bool) -> DataFrame:
     """Lines with their physical number, completeness and the layout in effect (null before any header).
 
@@ -213,11 +228,20 @@ def number_lines(lines: DataFrame, blocks: DataFrame, ip_priority: Sequence[str]
     layouts = texts.select(F.xxhash64("header").alias("held"), layout(F.col("header"), ip_priority, include_additional).alias("layout"))
     layouts = F.broadcast(layouts) if texts.count() <= BROADCAST_HEADERS else layouts
     known = F.transform("headers", lambda h: F.struct(h["seq"].alias("seq"), F.xxhash64(h["header"]).alias("held")))
-    small = blocks.select("source_path", "block", "first_seq", "n", "before", "file_lines", "ends_with_lf", known.alias("known"))
-    small = F.broadcast(small) if blocks.count() <= BROADCAST_BLOCKS else small
+    width = F.when(F.size("headers") > FEW_HEADERS, F.greatest(F.lit(STRETCH), F.expr("n div size(headers)")))
+    marked = blocks.select("source_path", "block", "first_seq", "n", "before", "file_lines", "ends_with_lf", known.alias("known"), width.cast("long").alias("width"))
+    n_blocks, busy = blocks.select(F.count("*"), F.count(width)).first()
+    if busy:
+        marked = durable(marked, "known")
+        stretches = durable(header_stretches(marked), "stretches")
+        stretches = F.broadcast(stretches) if stretches.count() <= BROADCAST_BLOCKS else stretches
+        marked = marked.withColumn("known", F.when(F.col("width").isNull(), F.col("known")))
+    small = F.broadcast(marked) if n_blocks <= BROADCAST_BLOCKS else marked
     joined = small.join(lines.select("source_path", "block", "seq", "text"), ["source_path", "block"], "right")
     place = F.col("seq") - F.col("first_seq")
     joined = joined.where(F.when((place >= 0) & (place < F.col("n")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("the blocks of "), "source_path", F.lit(" changed while it was read"))).cast("boolean")))
+    if busy:
+        joined = joined.withColumn("stretch", F.expr("(seq - first_seq) div width")).join(stretches, ["first_seq", "stretch"], "left").withColumn("known", F.coalesce("near", "known"))
     number = F.col("before") + place + 1
     only = F.get("known", F.lit(0))
     one = F.when(only["seq"] < F.col("seq"), only["held"])
