@@ -216,6 +216,39 @@ def test_a_crowd_in_one_band_is_linked_exactly(spark, monkeypatch, hubs, spread)
     assert [got.get(k, k) for k in range(len(sets))] == want
 
 
+@pytest.mark.parametrize("everywhere", [True, False])
+def test_a_crowd_in_many_bands_is_described_once(spark, monkeypatch, everywhere):
+    """Bands that hold much the same nodes, each under a least node of its own, cost one row a node, and no pair of a band is lost."""
+    monkeypatch.setattr(simhash, "HUBS", 0)
+    rng = random.Random(everywhere)
+    bases = [list(range(b * 1000, b * 1000 + 100)) for b in (1, 2)]
+    sets = []
+    for _ in range(120):
+        base = set(rng.choice(bases))
+        for _ in range(rng.randrange(30)):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.randrange(10**6, 10**9))
+        sets.append(frozenset(base))
+    keys = [[1] * everywhere + [100 + b if k >= b and rng.random() < 0.8 else 1000 * (b + 1) + k for b in range(12)] for k in range(120)]
+    close = [(a, b) for a in range(120) for b in range(a) if similar(sets[a], sets[b])]
+    known = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "node long, shingles array<long>")
+    nodes = spark.createDataFrame(list(enumerate(keys)), "node long, keys array<long>")
+    none, sizes, real = spark.createDataFrame([], "src long, dst long"), [], simhash.durable
+
+    def counting(df, label, *more):
+        out = real(df, label, *more)
+        if label == "sides":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counting)
+    got = {r["node"]: r["root"] for r in simhash.similar_components(nodes, none, lambda wanted: known.join(wanted, "node"), 0.8, bucket=1).collect()}
+    least, most = unite(120, [(a, b) for a, b in close if any(x == y for x, y in zip(keys[a], keys[b], strict=True))]), unite(120, close)
+    found = [got.get(k, k) for k in range(120)]
+    assert all(found[k] == found[least[k]] and most[k] == most[found[k]] for k in range(120))
+    assert len(sizes) == 1 and sizes[0] <= 1.1 * 120
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

@@ -244,6 +244,20 @@ class _Linking:
         return durable(rows.join(apart, "key", "left_semi"), "open")
 
 
+def _crowds(rows: DataFrame) -> DataFrame:
+    """``rows(hub, node, root)`` with hubs that hold much the same nodes made one, so that few nodes are under several.
+
+    A node's home is the largest of its hubs. A hub goes by the name of the home that most of its nodes have, if that is half of
+    them at least. All of a hub's nodes get the same name, so nodes that shared a hub still do.
+    """
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("m"))
+    homes = rows.join(sizes, "hub").groupBy("node").agg(F.max(F.struct("m", "hub"))["hub"].alias("home"))
+    shares = rows.join(homes, "node").groupBy("hub", "home").agg(F.count("*").alias("k"))
+    named = shares.groupBy("hub").agg(F.max(F.struct("k", "home")).alias("most"), F.sum("k").alias("m"))
+    named = named.select("hub", F.when(2 * F.col("most.k") >= F.col("m"), F.col("most.home")).otherwise(F.col("hub")).alias("crowd"))
+    return rows.join(named, "hub").select(F.col("crowd").alias("hub"), "node", "root").distinct()
+
+
 def _by_differences(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(src, dst)`` of all nodes of ``rows(hub, node, root)`` of one hub but different components that may be similar.
 
@@ -252,7 +266,8 @@ def _by_differences(rows: DataFrame, sets: DataFrame, similarity: float) -> Data
     ``|Dx| - c |x|`` with ``c = (1 - similarity) / (1 + similarity)``. So the node with the least f is similar to all whose
     f is at most the negative of its own, whatever their differences; only the others, far ones, need differences
     in common with whomever they are similar to. How many is bounded from below, and two sets that have so
-    many in common share one of each one's rarest.
+    many in common share one of each one's rarest. Differences that no two components have in common, or no far node has, come before
+    all others in that order and are only counted.
     """
     c = (1 - similarity) / (1 + similarity)
     members = rows.join(sets, "node")
@@ -267,11 +282,13 @@ def _by_differences(rows: DataFrame, sets: DataFrame, similarity: float) -> Data
     sides = sides.join(centres, "hub").withColumn("far", F.col("f") + F.col("least") > 1e-9)
     sides = sides.select("hub", "node", "root", "d", "f", "far", "centre", longest(F.col("f") + F.abs("least")).alias("short"), longest(F.col("f") + F.col("least")).alias("long"))
     sides = durable(sides, "sides")
-    listed = sides.select("hub", "node", F.explode("d").alias("token"))
-    counts = durable(listed.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
-    ranked = listed.join(counts, ["hub", "token"], "left").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ranked"))
-    first = F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.when(F.col("far"), F.col("long")).otherwise(F.col("short")), F.lit(0)))).alias("at", "t")
-    prefixes = sides.select("hub", "node", "root", "f", "far", "short", "long", F.size("d").alias("n")).join(ranked, ["hub", "node"]).select("hub", "node", "root", "f", "far", "short", "n", first).where("t.df > 1")
+    listed = sides.select("hub", "node", "root", "far", F.explode("d").alias("token"))
+    counts = listed.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b"), F.max("far").alias("some"))
+    counts = durable(counts.where("a <> b AND some").select("hub", "token", "df"), "counts")
+    ranked = listed.select("hub", "node", "token").join(counts, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    placed = sides.select("hub", "node", "root", "f", "far", "short", "long", F.size("d").alias("n")).join(ranked, ["hub", "node"]).withColumn("before", F.col("n") - F.size("ranked"))
+    first = F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.when(F.col("far"), F.col("long")).otherwise(F.col("short")) - F.col("before"), F.lit(0)))).alias("at", "t")
+    prefixes = placed.select("hub", "node", "root", "f", "far", "short", "n", "before", first).withColumn("at", F.col("before") + F.col("at"))
     prefixes = durable(prefixes.select(F.xxhash64("hub", "t.token").alias("key"), "node", "root", "f", "far", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("is_short")), "prefixes")
     apart = prefixes.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("far").alias("some")).where("a <> b AND some").select("key")
     prefixes = durable(prefixes.join(apart, "key", "left_semi"), "prefixes")
@@ -302,7 +319,7 @@ def similar_components(nodes: DataFrame, proposed: DataFrame, sets_of: Callable[
     state.add(_across(small, small, "key").unionByName(_across(large, hubs, "key")))
     state.take_components()
     rows = state.still_open(held.where(F.col("many") > bucket))
-    if not rows.isEmpty() and not state.add(_by_differences(rows.select("hub", "node", "root").distinct(), state.sets, similarity)).isEmpty():
+    if not rows.isEmpty() and not state.add(_by_differences(durable(_crowds(rows.select("hub", "node", "root").distinct()), "crowds"), state.sets, similarity)).isEmpty():
         state.take_components()
     return state.roots
 
