@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontaminate, mixing, quality_model, quality_rules, simhash
-from tidelog.llm.common import delete, fresh_path, long_rows, scratch
+from tidelog.llm.common import delete, fresh_path, long_rows, scratch, small_groups
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    small_groups(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -18,24 +19,26 @@ def by_quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     It learns from all labelled documents, as few bad ones are left among those that passed the rules.
     """
+    small_groups(spark)
     labels, examples = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_model.keep_good(docs, labels, examples)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    long_rows(spark)
+    long_rows(small_groups(spark))
     return simhash.keep_one(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    long_rows(spark)
+    long_rows(small_groups(spark))
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=1)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target weight, in shuffled order."""
+    small_groups(spark)
     return mixing.mix(docs)
 
 

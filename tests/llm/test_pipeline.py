@@ -3,7 +3,9 @@
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -67,6 +69,16 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_write_small_row_groups(spark, tmp_path, k):
+    """A task of the next stage reads a row group whole: 40 MB in one file are several, whoever writes a stage's result."""
+    own = spark.newSession()
+    corpus_pipeline.STAGES[k][1](own, own.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+    own.range(0, 600_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(f"{tmp_path}/out")
+    meta = [pq.read_metadata(f) for f in tmp_path.glob("out/*.parquet")]
+    assert max(m.row_group(g).total_byte_size for m in meta for g in range(m.num_row_groups)) < 20 << 20
+
+
 def test_run(spark):
     """The whole pipeline, against its stages one after the other on tables in memory."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

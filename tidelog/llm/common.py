@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.storage import delete, drop_table, durable, fresh_path, scratch
 
-__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "free_name", "fresh_path", "let", "long_rows", "scratch", "words_of"]
+__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "free_name", "fresh_path", "let", "long_rows", "scratch", "small_groups", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -31,6 +31,16 @@ def long_rows(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a Parquet row group of texts: a task holds the one that it reads and the one that it writes.
+GROUP_BYTES = 16 << 20
+
+
+def small_groups(spark: SparkSession) -> SparkSession:
+    """Let what the session writes from here on have row groups of GROUP_BYTES, not of 128 MB."""
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+    return spark
+
+
 def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches one by one; what Arrow holds for those already done goes back to the system."""
     for b in batches:
