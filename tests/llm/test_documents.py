@@ -249,6 +249,24 @@ def test_a_crowd_in_many_bands_is_described_once(spark, monkeypatch, everywhere)
     assert len(sizes) == 1 and sizes[0] <= 1.1 * 120
 
 
+@pytest.mark.parametrize("stranger, most", [(False, 1), (True, 4)])
+def test_a_crowd_has_few_edges_between_its_roots(spark, monkeypatch, stranger, most):
+    """A crowd in many bands gives components no more edges than nodes, or than a hub or two a node if its least node is a stranger to all."""
+    rng = random.Random(6)
+    sets = [frozenset(range(100)) | frozenset(10**6 * (k + 1) + x for x in range(rng.randrange(1, 12))) for k in range(120)]
+    sets += [frozenset(range(20, 90 - 2 * k)) for k in range(9)]  # linked to one another and to none of the crowd
+    sets[0] = frozenset([1]) if stranger else sets[0]
+    n = len(sets)
+    close = [(a, b) for a in range(n) for b in range(a) if similar(sets[a], sets[b])]
+    known = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(k, [0, *(100 + b if k >= b and rng.random() < 0.8 else 1000 * (b + 1) + k for b in range(12))]) for k in range(n)], "node long, keys array<long>")
+    none, sizes, real = spark.createDataFrame([], "src long, dst long"), [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: sizes.append(edges.count()) or real(edges))
+    got = {r["node"]: r["root"] for r in simhash.similar_components(nodes, none, lambda wanted: known.join(wanted, "node"), 0.8).collect()}
+    assert [got.get(k, k) for k in range(n)] == unite(n, close)
+    assert sizes and max(sizes) <= most * n < len(close)
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

@@ -30,8 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _toward_least(large)
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _toward_least(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         then = durable(small, "edges")
         drop_table(now)
         now = then

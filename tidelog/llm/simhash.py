@@ -41,13 +41,14 @@ from pyspark.sql import types as T
 
 from tidelog.llm.common import ascii_lower, durable, each_batch, free_name, let, words_of
 from tidelog.llm.graph import components
+from tidelog.llm.learning import chosen
 
 #: Hashes whose bits are unpacked at a time: 64 bytes each.
 CHUNK = 1 << 17
 #: Two sets of similarity 0.8 miss all bands of the second fingerprint once in 20 000 times: (1 - 0.8 ** 5) ** 25.
 BANDS, BAND_ROWS = 25, 5
 #: Nodes of a large band that its others are compared with before the rest is joined by differences.
-HUBS = 4
+HUBS, HUB_SEED = 4, 29
 #: Rows of ids and hashes that may be broadcast: 24 bytes each.
 BROADCAST_IDS = 2_000_000
 
@@ -138,17 +139,14 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = 64
         probes.append(_around(s, value, masks))
     held = fps.select(F.col("fp").alias("b"), F.explode(F.array(*rows)).alias("at")).select("at.*", "b")
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("at")).select("at.*", "a")
-    hot = durable(held.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"), "hot")
-    some = not hot.isEmpty()
-    if some:
-        held, cold = held.join(hot, ["seg", "key"], "left_anti"), asked.join(hot, ["seg", "key"], "left_anti")
-    else:
-        cold = asked
-    found = cold.join(held, ["seg", "key"]).where((F.col("a") != F.col("b")) & (_bit_distance() <= max_bits))
+    shared = held.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("b").alias("least"))
+    # most probes meet nothing but the fingerprint that sent them; those end here
+    hits = durable(asked.join(shared, ["seg", "key"]).where("n > 1 OR least <> a").select("seg", "key", "a", "n"), "hits")
+    found = hits.where(F.col("n") <= bucket).join(held, ["seg", "key"]).where((F.col("a") != F.col("b")) & (_bit_distance() <= max_bits))
     found = found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    if some:
-        crowd = asked.join(hot, ["seg", "key"], "left_semi").select("a").distinct()
-        found = found.unionByName(_meeting(crowd, max_bits))
+    hot = hits.where(F.col("n") > bucket)
+    if not hot.isEmpty():
+        found = found.unionByName(_meeting(hot.select("a").distinct(), max_bits))
     return found.distinct()
 
 
@@ -235,7 +233,19 @@ class _Linking:
         self.roots = durable(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
 
     def take_components(self) -> None:
-        self.roots = durable(components(self.edges), "roots")
+        """The edges so far, between roots instead of nodes, make components; then they are done with.
+
+        A crowd that is compared with many hubs has many edges to a node, but few between its roots. A node's root is its
+        neighbour or itself at least, so an edge between them becomes one between that root and the root's own root, and roots connect as nodes do.
+        """
+        ends = self.edges
+        for end in ("src", "dst"):
+            ends = ends.join(self.roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        joined = components(durable(ends.where("src <> dst").distinct(), "between")).toDF("root", "least")
+        own = [self.edges.select(F.col(end).alias("node"), F.col(end).alias("root")) for end in ("src", "dst")]
+        known = self.roots.unionByName(own[0]).unionByName(own[1]).groupBy("node").agg(F.min("root").alias("root"))  # no root is above its node
+        self.roots = durable(known.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "roots")
+        self.edges = None
 
     def still_open(self, held: DataFrame) -> DataFrame:
         """The rows of ``held(key, node, many, hub)``, with ``root``, whose key has nodes of several roots."""
@@ -314,7 +324,7 @@ def similar_components(nodes: DataFrame, proposed: DataFrame, sets_of: Callable[
     state.take_neighbours()
     rows = state.still_open(held)
     large = rows.where(F.col("many") > bucket)
-    hubs = large.where(F.pmod(F.xxhash64("node"), F.col("many")) < HUBS)
+    hubs = large.where(chosen(F.col("node"), HUBS / F.col("many"), HUB_SEED))  # by one hash: bands of one crowd have the same hubs
     small = rows.where(F.col("many") <= bucket)
     state.add(_across(small, small, "key").unionByName(_across(large, hubs, "key")))
     state.take_components()
