@@ -142,6 +142,48 @@ def test_links_reach_what_brute_force_reaches(spark, bits, segments, bucket):
     assert {v: find(v) for v in values} == linked(values, bits)
 
 
+def broadcast_unseen(df):
+    """What ``df``'s plan would broadcast although it is made by ``explode``, whose rows Spark does not count before it has run."""
+    found, inside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth <= inside:
+            inside = None
+        if inside is None and "BroadcastExchange" in line:
+            inside = depth
+        elif inside is not None and "Generate" in line:
+            found.append(line)
+    return found
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """Labels and exploded broadcasts of the tables that ``simhash`` writes, where Spark may broadcast 10 MB."""
+    seen, write = [], simhash.durable
+
+    def watched(df, label, *a):
+        seen.append((label, broadcast_unseen(df)))
+        return write(df, label, *a)
+
+    monkeypatch.setattr(simhash, "durable", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    yield seen
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_probes_are_never_broadcast(spark, tmp_path, plans, bucket):
+    """A table of fingerprints is small beside its probes, 34 each, or the 2 081 points of a ball."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(62) for _ in range(40)]
+    values = sorted({x ^ (1 << rng.randrange(32)) for x in base for _ in range(4)} | set(base))
+    spark.createDataFrame([(v,) for v in values], "fp long").write.parquet(f"{tmp_path}/fps")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/fps"), 2, 2, bucket)
+    assert [x for x, _ in plans] == ["hits"] and not plans[0][1] and not broadcast_unseen(found)
+    want, at = linked(values, 2), {v: k for k, v in enumerate(values)}
+    assert unite(len(values), [(at[r["src"]], at[r["dst"]]) for r in found.collect()]) == [at[want[v]] for v in values]
+
+
 def test_components(spark):
     """A long chain, a star, a loop, a repeated and reversed edge."""
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(200, 200), (301, 300), (300, 301), (None, 5)]

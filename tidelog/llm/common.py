@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.storage import delete, drop_table, durable, fresh_path, scratch
 
-__all__ = ["ascii_lower", "delete", "drop_table", "durable", "each_batch", "free_name", "fresh_path", "let", "long_rows", "scratch", "small_groups", "words_of"]
+__all__ = ["ascii_lower", "dealt", "delete", "drop_table", "durable", "each_batch", "free_name", "fresh_path", "let", "long_rows", "scratch", "small_groups", "words_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -41,6 +41,15 @@ def small_groups(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides out by their keys, whatever size Spark takes them for.
+
+    Catalyst does not count what ``explode`` makes of a row, and takes lists that compress well for as small as their
+    file. Such a table can pass for one to broadcast, which the driver has to hold.
+    """
+    return df.hint("merge")
+
+
 def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches one by one; what Arrow holds for those already done goes back to the system."""
     for b in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ascii_lower, durable, each_batch, free_name, let, words_of
+from tidelog.llm.common import ascii_lower, dealt, durable, each_batch, free_name, let, words_of
 from tidelog.llm.graph import components
 from tidelog.llm.learning import chosen
 
@@ -141,8 +141,8 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = 64
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("at")).select("at.*", "a")
     shared = held.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("b").alias("least"))
     # most probes meet nothing but the fingerprint that sent them; those end here
-    hits = durable(asked.join(shared, ["seg", "key"]).where("n > 1 OR least <> a").select("seg", "key", "a", "n"), "hits")
-    found = hits.where(F.col("n") <= bucket).join(held, ["seg", "key"]).where((F.col("a") != F.col("b")) & (_bit_distance() <= max_bits))
+    hits = durable(dealt(asked).join(shared, ["seg", "key"]).where("n > 1 OR least <> a").select("seg", "key", "a", "n"), "hits")
+    found = hits.where(F.col("n") <= bucket).join(dealt(held), ["seg", "key"]).where((F.col("a") != F.col("b")) & (_bit_distance() <= max_bits))
     found = found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     hot = hits.where(F.col("n") > bucket)
     if not hot.isEmpty():
@@ -158,7 +158,7 @@ def _meeting(crowd: DataFrame, max_bits: int) -> DataFrame:
     hubs = listed.where("inner").groupBy("point").agg(F.min("b").alias("a"), F.count("*").alias("n"))
     if inner == outer:
         hubs = hubs.where("n > 1")
-    return listed.join(hubs, "point").where("a <> b").where(_bit_distance() <= max_bits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return dealt(listed).join(hubs, "point").where("a <> b").where(_bit_distance() <= max_bits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def _to_sets(words: int, with_sets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
