@@ -184,6 +184,30 @@ def test_probes_are_never_broadcast(spark, tmp_path, plans, bucket):
     assert unite(len(values), [(at[r["src"]], at[r["dst"]]) for r in found.collect()]) == [at[want[v]] for v in values]
 
 
+def test_bands_are_never_broadcast(spark, tmp_path, plans):
+    """A node has 26 bands, which Spark takes for one."""
+    rng = random.Random(7)
+    texts = [prose(rng, 80) for _ in range(30)]
+    texts += [x + " again" for x in texts[:10]]
+    frame(spark, [(k, x, "en", "a") for k, x in enumerate(texts)]).write.parquet(f"{tmp_path}/docs")
+    got = simhash.near_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+    assert {"hits", "held", "edges"} <= {x for x, _ in plans}
+    assert not [x for x in plans if x[0] in ("hits", "held", "edges") and x[1]]
+    assert all(r["component_id"] == r["doc_id"] % 30 for r in got.collect())
+
+
+def test_many_hashes_are_dealt(spark, tmp_path, monkeypatch):
+    """Lists that are all alike take hardly any file, and yet their memory."""
+    monkeypatch.setattr(simhash, "BROADCAST_HASHES", 1000)
+    spark.range(40).select(F.col("id").alias("node"), F.sequence(F.lit(1), F.lit(50)).alias("shingles")).write.parquet(f"{tmp_path}/sets")
+    sets, plan = spark.read.parquet(f"{tmp_path}/sets"), lambda df: df._jdf.queryExecution().executedPlan().toString()
+    other = spark.range(40).withColumnRenamed("id", "node")
+    assert "BroadcastExchange" in plan(other.join(sets, "node"))
+    assert "BroadcastExchange" in plan(other.join(simhash._weighed(sets), "node"))
+    assert "BroadcastExchange" not in plan(other.join(simhash._weighed(sets, "shingles"), "node"))
+    assert simhash._weighed(sets.limit(0), "shingles").count() == 0
+
+
 def test_components(spark):
     """A long chain, a star, a loop, a repeated and reversed edge."""
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(200, 200), (301, 300), (300, 301), (None, 5)]

@@ -51,6 +51,8 @@ BANDS, BAND_ROWS = 25, 5
 HUBS, HUB_SEED = 4, 29
 #: Rows of ids and hashes that may be broadcast: 24 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Hashes in lists, or rows of two or three hashes, up to which Spark may take a table for one to broadcast.
+BROADCAST_HASHES = 500_000
 
 
 def shingle_hashes(text: Column, words: int) -> Column:
@@ -203,6 +205,14 @@ def _slight(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _weighed(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """A durable table, dealt in joins if its rows, or the hashes in its column ``lists``, are many: a file of what
+    repeats is far smaller than that is in memory.
+    """
+    held = df.agg(F.sum(F.size(lists))).first()[0] if lists else df.count()
+    return dealt(df) if (held or 0) > BROADCAST_HASHES else df
+
+
 def _across(rows: DataFrame, other: DataFrame, key: str, only: Column | None = None) -> DataFrame:
     """``(src, dst)`` of the nodes of ``rows`` and ``other`` that share ``key`` but no component; ``only`` may compare columns with those of ``other``, called ``other_...``."""
     met = rows.join(other.select(key, *(F.col(c).alias(f"other_{c}") for c in other.columns if c != key)), key).where("node <> other_node AND root <> other_root")
@@ -251,7 +261,7 @@ class _Linking:
         """The rows of ``held(key, node, many, hub)``, with ``root``, whose key has nodes of several roots."""
         rows = held.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        return durable(rows.join(apart, "key", "left_semi"), "open")
+        return _weighed(durable(rows.join(apart, "key", "left_semi"), "open"))
 
 
 def _crowds(rows: DataFrame) -> DataFrame:
@@ -295,7 +305,9 @@ def _by_differences(rows: DataFrame, sets: DataFrame, similarity: float) -> Data
     listed = sides.select("hub", "node", "root", "far", F.explode("d").alias("token"))
     counts = listed.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b"), F.max("far").alias("some"))
     counts = durable(counts.where("a <> b AND some").select("hub", "token", "df"), "counts")
-    ranked = listed.select("hub", "node", "token").join(counts, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    few = counts.count() <= BROADCAST_HASHES
+    told = listed.select("hub", "node", "token")
+    ranked = (told if few else dealt(told)).join(F.broadcast(counts) if few else counts, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     placed = sides.select("hub", "node", "root", "f", "far", "short", "long", F.size("d").alias("n")).join(ranked, ["hub", "node"]).withColumn("before", F.col("n") - F.size("ranked"))
     first = F.posexplode(F.slice("ranked", F.lit(1), F.greatest(F.when(F.col("far"), F.col("long")).otherwise(F.col("short")) - F.col("before"), F.lit(0)))).alias("at", "t")
     prefixes = placed.select("hub", "node", "root", "f", "far", "short", "n", "before", first).withColumn("at", F.col("before") + F.col("at"))
@@ -316,10 +328,10 @@ def similar_components(nodes: DataFrame, proposed: DataFrame, sets_of: Callable[
     """
     rows = nodes.select("node", F.posexplode("keys").alias("seg", "key")).select(F.xxhash64("seg", "key").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("hub")).where("many > 1")
-    held = durable(rows.join(shared, "key"), "held")
+    held = durable(dealt(rows).join(shared, "key"), "held")
     proposed = durable(proposed, "proposed")
     wanted = held.select("node").unionByName(proposed.select(F.col("src").alias("node"))).unionByName(proposed.select(F.col("dst").alias("node"))).distinct()
-    state = _Linking(durable(sets_of(durable(wanted, "wanted")), "sets"), similarity)
+    state = _Linking(_weighed(durable(sets_of(durable(wanted, "wanted")), "sets"), "shingles"), similarity)
     state.add(held.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").toDF("dst", "src").select("src", "dst").unionByName(proposed))
     state.take_neighbours()
     rows = state.still_open(held)
